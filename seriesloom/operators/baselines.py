@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.panel import names, trailing
 
@@ -88,7 +89,7 @@ def lr_baseline(df: DataFrame, group_cols: str | Sequence[str], date_col: str, s
             out.where(train)
             .select(*keys, y.alias("_y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
             .groupBy(*keys)
-            .applyInPandas(_least_squares(keys, columns), out.select(*keys).schema.add("_c", "array<double>"))
+            .applyInPandas(_least_squares(keys, columns), out.select(*keys).schema.add("_c", T.ArrayType(T.DoubleType())))
         )
         dot = F.element_at("_c", 1)
         for i, c in enumerate(columns):

@@ -362,13 +362,13 @@ def _decompose_sql(rows: str, key: str, value: str, period: str, periods: tuple[
 
 @query(
     f"""WITH {PREP}, f AS (SELECT l_suppkey, date, filled_qty FROM smooth), {_decompose_sql('f', 'l_suppkey', 'filled_qty', '12', (12,), 'dc')}
-SELECT l_suppkey, date, CASE WHEN n >= 24 THEN {rs('coalesce(last_value(trend IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(trend IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 4)} END AS feature_trend_filled_qty,
- CASE WHEN n >= 24 THEN {rs('seasonal', 4)} END AS feature_seasonal_filled_qty FROM dc"""
+SELECT l_suppkey, date, CASE WHEN n >= 24 THEN {rs('coalesce(last_value(trend IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(trend IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 7)} END AS feature_trend_filled_qty,
+ CASE WHEN n >= 24 THEN {rs('seasonal', 7)} END AS feature_seasonal_filled_qty FROM dc"""
 )
 def decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = preparation.complete(P.supp_m(spark, sf_dir), ["l_suppkey"], "date", "MS")
     out = statistics.decomposition(preparation.smoothing(full, ["l_suppkey"], "date", ["qty"], P.WINDOW), ["l_suppkey"], "date", "filled_qty", 12)
-    return out.select("l_suppkey", "date", *[rd(c, 4).alias(c) for c in ("feature_trend_filled_qty", "feature_seasonal_filled_qty")])
+    return out.select("l_suppkey", "date", *[rd(c, 7).alias(c) for c in ("feature_trend_filled_qty", "feature_seasonal_filled_qty")])
 
 
 @query(
@@ -528,10 +528,10 @@ def outlier_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH panel AS ({P.SQL['part_m']}), {_decompose_sql('panel', 'l_partkey', 'qty', 'CASE WHEN n > 7 THEN least(7, n // 2) ELSE 2 END', (2, 3, 4, 5, 6, 7), 'dc')},
 q AS (SELECT l_partkey, quantile_cont(resid, [0.025, 0.975]) AS q FROM dc GROUP BY 1)
-SELECT l_partkey, date, {rs("coalesce(trend + seasonal + CASE WHEN resid IS NOT NULL THEN least(greatest(resid, q[1]), q[2]) END, qty)", 4)} AS qty FROM dc JOIN q USING (l_partkey)"""
+SELECT l_partkey, date, {rs("coalesce(trend + seasonal + CASE WHEN resid IS NOT NULL THEN least(greatest(resid, q[1]), q[2]) END, qty)", 7)} AS qty FROM dc JOIN q USING (l_partkey)"""
 )
 def outlier_clip_resid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.clip_residual_outliers(P.part_m(spark, sf_dir), "qty", ["l_partkey"], "date").select("l_partkey", "date", rd("qty", 4).alias("qty"))
+    return guard.clip_residual_outliers(P.part_m(spark, sf_dir), "qty", ["l_partkey"], "date").select("l_partkey", "date", rd("qty", 7).alias("qty"))
 
 
 def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
