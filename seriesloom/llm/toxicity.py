@@ -40,20 +40,25 @@ class WordScores(dict):
         return score
 
 
-def sentence_logits(text: str, scores: WordScores, bias: float) -> list[tuple[int, int, float]]:
-    """(start, end, log-odds) of each sentence with a word, as character offsets."""
+def sentence_scores(text: str, scores: WordScores) -> list[tuple[int, int, float]]:
+    """(start, end, summed word scores) of each sentence with a word, as character offsets."""
     found, at, low = [], 0, text.lower()
     ends = [*((m.start(), m.end()) for m in SENTENCE.finditer(low)), (len(low), len(low))]
     for stop, after in ends:
         if words := TOKEN.findall(low, at, stop):
-            found.append((at, stop, bias + sum(map(scores.__getitem__, words))))
+            found.append((at, stop, sum(map(scores.__getitem__, words))))
         at = after
     return found
 
 
-def noisy_or(logits: np.ndarray) -> float:
-    """1 - prod(1 - sigmoid(z)); 0 for no sentence."""
-    return float(-np.expm1(-np.logaddexp(0.0, logits).sum())) if len(logits) else 0.0
+def noisy_or(sums: list[float], bias: float) -> float:
+    """1 - prod(1 - sigmoid(bias + s)) over sentences with telling words and one leak term, sigmoid(bias).
+
+    Sentences without telling words say nothing, so that a clean text's score does not
+    rise with its length.
+    """
+    z = np.array([bias, *(bias + s for s in sums if s)])
+    return float(-np.expm1(-np.logaddexp(0.0, z).sum()))
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col:
     Every round, each part descends from the shared weights over its own documents and
     the driver averages the parts: a fixed number of vectors of bounded size, whatever
     the number of documents. A document's log-likelihood is that of the noisy-or over
-    its sentences, so that a positive label pulls up the sentences already under
-    suspicion. No labelled rows, or one class alone: no weights.
+    its sentences with telling words and a leak, so that a positive label pulls up the
+    sentences already under suspicion. No labelled rows, or one class alone: no weights.
     """
     ids = F.broadcast(bounded_labels(labels, label_col, trainable, most_labels))
     rows = materialize(id_and_text(docs, id_col, text_col).join(ids, "id").select("id", "text", "label").repartition(PARTS, "id"))
@@ -104,11 +109,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col:
             _, texts = rows_of(batch)
             flat, counts = [], []
             for text in texts:
-                ids, sizes = [], []
+                ids, sizes = [len(number)], [1]  # the leak: the constant feature alone
                 for sentence in SENTENCE.split(text.decode("utf-8", "replace").lower()):
-                    if words := TOKEN.findall(sentence):
-                        own = [number[f] for w in words for f in word_features(w) if f in number]
-                        ids.extend([*own, len(number)])  # one constant feature keeps each sentence present
+                    own = [number[f] for w in TOKEN.findall(sentence) for f in word_features(w) if f in number]
+                    if own:
+                        ids.extend([*own, len(number)])
                         sizes.append(len(own) + 1)
                 flat.append(np.asarray(ids, "<i4").tobytes())
                 counts.append(np.asarray(sizes, "<i4").tobytes())
@@ -129,8 +134,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col:
                 for i in np.random.default_rng(turn * EPOCHS + epoch).permutation(len(rows)):
                     label, ids, sizes = rows[i]
                     sizes, ids = np.frombuffer(sizes, "<i4"), np.frombuffer(ids, "<i4")
-                    if not len(sizes):
-                        continue
                     z = np.add.reduceat(own[ids], np.cumsum(sizes) - sizes)
                     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                     nothing = np.exp(-np.logaddexp(0, z).sum())
@@ -150,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col:
 def score(docs: DataFrame, weights: dict[str, float], bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, worst_start, worst_end, worst_score) per row; the worst sentence as character offsets.
 
-    Null and empty texts score 0 and have a null worst sentence. Repeated rows each get
+    Null and empty texts score the leak alone and have a null worst sentence. Repeated rows each get
     a row; other columns are not read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
@@ -162,13 +165,12 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, id_col: str =
             ids, texts = rows_of(batch)
             out: list[list] = [[], [], [], []]
             for text in texts:
-                found = sentence_logits(text.decode("utf-8", "replace"), scores, bias)
-                z = np.array([x[2] for x in found])
-                at = int(z.argmax()) if found else None
-                out[0].append(noisy_or(z))
-                out[1].append(found[at][0] if found else None)
-                out[2].append(found[at][1] if found else None)
-                out[3].append(float(1 / (1 + np.exp(-np.clip(z[at], -500, 500)))) if found else None)
+                found = sentence_scores(text.decode("utf-8", "replace"), scores)
+                out[0].append(noisy_or([x[2] for x in found], bias))
+                start, end, most = max(found, key=lambda x: (x[2], -x[0]), default=(None, None, None))
+                out[1].append(start)
+                out[2].append(end)
+                out[3].append(None if most is None else float(1 / (1 + np.exp(-np.clip(bias + most, -500, 500)))))
             kinds = (pa.float64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, k) for x, k in zip(out, kinds))], ["id", "score", "worst_start", "worst_end", "worst_score"])
 
@@ -198,9 +200,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         weights, bias = shared.value
         scores = WordScores(weights)
         for batch in slices(batches):
-            keep = [
-                noisy_or(np.array([x[2] for x in sentence_logits(t or "", scores, bias)])) < 0.5 for t in batch.column(at).to_pylist()
-            ]
+            keep = [noisy_or([x[2] for x in sentence_scores(t or "", scores)], bias) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
