@@ -31,4 +31,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": _on("conversations", chat.op10_chat),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_MIXING = r"""
+WITH d AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+k AS (SELECT doc_id, source, size,
+  -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+  / greatest(0.05::DOUBLE, 1.0::DOUBLE - coalesce(len(regexp_extract_all(text, '[#*$%&|<>]'))::DOUBLE / greatest(size, 1), 0)) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT source, source_size, 3 * source_size AS lim, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
+v AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM w),
+r AS (SELECT *, sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim::DOUBLE / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+  sum(w) OVER (ORDER BY lim::DOUBLE / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lw, row_number() OVER (ORDER BY lim::DOUBLE / w, place) AS rk FROM v),
+f AS (SELECT min(rk) AS rk0, arg_min(lft, rk) AS lft0, arg_min(lw, rk) AS lw0 FROM r WHERE lim * lw > lft * w),
+t AS (SELECT source, source_size, CASE WHEN rk0 IS NULL OR rk < rk0 THEN lim::DOUBLE ELSE (lft0 * w)::DOUBLE / lw0::DOUBLE END AS target FROM r CROSS JOIN f),
+e AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM t),
+b AS (SELECT *, floor(target - epochs * source_size + 1e-6)::BIGINT AS budget FROM e),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM k)
+SELECT o.doc_id, o.size, b.source_size, b.target, (b.epochs * o.size + greatest(0, least(o.size, b.budget - o.before)))::BIGINT AS taken
+FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source"""
+
+_CHAT = """
+WITH t AS (SELECT conv_id::BIGINT AS pair_id, turn::BIGINT AS turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT pair_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY 1),
+rep AS (SELECT l.pair_id, l.last, max(t.text) AS reply FROM l JOIN t ON t.pair_id = l.pair_id AND t.turn = l.last AND t.role = 'assistant' GROUP BY ALL),
+upto AS (SELECT t.*, l.last FROM t JOIN l USING (pair_id) WHERE turn <= last),
+swap AS (SELECT r.pair_id, r.last AS turn, 'assistant' AS role, coalesce(o.reply, '') AS text FROM rep r LEFT JOIN rep o ON o.pair_id = r.pair_id + 1),
+sides AS (SELECT pair_id, turn, role, text, 1 AS c, 0 AS r FROM upto
+  UNION ALL SELECT pair_id, turn, role, text, 0, 1 FROM upto WHERE NOT (turn = last AND role IS NOT DISTINCT FROM 'assistant') UNION ALL SELECT *, 0, 1 FROM swap),
+m AS (SELECT pair_id, turn, role, text, max(c) AS c, max(r) AS r, struct_pack(a := turn, b := coalesce(role, ''), c := coalesce(text, '')) AS place FROM sides GROUP BY ALL),
+f AS (SELECT pair_id, min(place) AS first FROM m WHERE c + r = 1 GROUP BY 1),
+p AS (SELECT m.*, coalesce(place < first, true) AS prompt FROM m LEFT JOIN f USING (pair_id)),
+x AS (SELECT *, 'prompt' AS part FROM p WHERE prompt UNION ALL SELECT *, 'chosen' FROM p WHERE NOT prompt AND c = 1 UNION ALL SELECT *, 'rejected' FROM p WHERE NOT prompt AND r = 1)
+SELECT pair_id, part, turn, role, text, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS rendered,
+CAST(part <> 'prompt' AND coalesce(role = 'assistant', false) AS INT) AS mask FROM x"""
+
+#: The others train, hash or tokenize in ways that SQL has no functions for; their tests use brute force.
+ORACLE_SQL: dict[str, str] = {"op9_mixing": _MIXING, "op10_chat": _CHAT}
