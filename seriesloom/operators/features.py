@@ -150,8 +150,9 @@ def run_feature_engineering(
 ) -> DataFrame:
     """Every feature of a backtest frame. ``group_cols`` should hold the cutoff, so that replicas never mix.
 
-    Windows of one series share one exchange and one sort; per-series statistics come
-    from one aggregate each and are joined back.
+    Windows of one series share one exchange and one sort; the statistics of a series are
+    computed from the frame as given and joined back once. A frame that was costly to
+    make should be checkpointed first.
     """
     keys = names(group_cols)
     known = frequency_params(freq)
@@ -165,10 +166,5 @@ def run_feature_engineering(
     out = out.withColumns(moving_average_columns(keys, date_col, signals, windows) | moving_stat_columns(keys, date_col, signals, windows) | made)
     if fill_lags:
         out = out.withColumns({c: F.last(c, ignorenulls=True).over(upto(keys, date_col)) for c in made})
-    out = statistics.cov(out, keys, date_col, target, cov_mode)
-    out = statistics.intermittence(out, keys, target)
-    out = statistics.quantile_clusters(out, keys, target, n_clusters)
-    if extended_stats:
-        out = statistics.max_consecutive_zeros(out, keys, date_col, target)
-        out = statistics.autocorrelation(out, keys, date_col, target)
+    out = statistics.series_statistics(out, df, keys, date_col, target, n_clusters, cov_mode, extended_stats)
     return statistics.train_weights(out, keys, "feature_periods", weight_type)

@@ -17,6 +17,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.checkpoints import materialize
 from seriesloom.operators.columns import sample_keys
 from seriesloom.operators.guard import guardrail
 from seriesloom.panel import clip0, finite_or_zero, names
@@ -55,7 +56,7 @@ def heuristic_params(model: str, rows: int, features: int) -> dict[str, Any]:
     if model == "ADA":
         trees, rate = step(rows, (1e3, 1e4), ((50, 1.0), (100, 0.5), (200, 0.3)))
         return {"maxIter": trees, "stepSize": rate}
-    return {}
+    return {"regParam": 1e-6, "solver": "normal"}  # enough to solve collinear features in one step
 
 
 def grid(model: str) -> dict[str, list]:
@@ -123,18 +124,23 @@ def estimator(model: str, label: str, params: dict, weight: str | None = None, s
     if model == "RF":
         return RandomForestRegressor(seed=seed, **shared, **params)
     if model == "LR":
-        return LinearRegression(solver="normal" if not params else "auto", **shared, **params)
+        return LinearRegression(**shared, **params)
     raise ValueError(f"unknown model: {model}")
 
 
 def imputed(df: DataFrame, features: Sequence[str], model: str) -> tuple[DataFrame, list[str]]:
-    """Missing features: far below all values for trees; for LR the median of the train rows plus a flag."""
+    """Missing features: far below all values for trees; for LR the median of the train rows plus a flag, without features that never vary."""
     if model != "LR":
         return df.withColumns({f"_x_{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(ABSENT)), F.lit(ABSENT)) for c in features}), [f"_x_{c}" for c in features]
     train = df.where(F.col("sample") == "train")
-    row = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in features], *[F.count_if(F.col(c).isNull()).alias(f"na_{c}") for c in features]).first()
-    out = {f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(row[c] or 0.0))) for c in features}
-    flags = {f"_na_{c}": F.col(c).isNull().cast("double") for c in features if row[f"na_{c}"]}
+    aggs = []
+    for c in features:
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None))
+        aggs += [F.percentile(x, 0.5).alias(f"mid_{c}"), F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"), F.count_if(x.isNull()).alias(f"na_{c}")]
+    row = train.agg(*aggs).first()
+    varied = [c for c in features if row[f"min_{c}"] != row[f"max_{c}"]] or list(features[:1])
+    out = {f"_x_{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(row[f"mid_{c}"] or 0.0))) for c in varied}
+    flags = {f"_na_{c}": F.col(c).isNull().cast("double") for c in varied if row[f"na_{c}"]}
     return df.withColumns(out | flags), [*out, *flags]
 
 
@@ -187,7 +193,7 @@ def tune_parameters(train: DataFrame, model: str, weight: str | None = None, can
     key = F.unix_date(date_col).cast("double") if date_col else F.pmod(F.xxhash64("features", F.lit(seed)), F.lit(1 << 20)).cast("double")
     edges = train.agg(F.percentile(key, F.array(*[F.lit(i / (folds + 1)) for i in range(1, folds + 1)])).alias("e")).first().e
     part = sum((F.when(key > e, 1).otherwise(0) for e in edges), F.lit(0))
-    parts = train.withColumn("_part", part).persist()
+    parts = train.select("features", "_y", *([weight] if weight else []), part.alias("_part")).persist()
 
     def error(p: dict, k: int) -> float:
         fit_on, check = parts.where(F.col("_part") < k), parts.where(F.col("_part") == k)
@@ -237,7 +243,7 @@ def run_backtesting(
     if use_guardrail and not baseline_col:
         raise ValueError("a guardrail needs baseline_col")
     group = F.col(training_group).cast("int") if training_group else F.lit(1)
-    frame = df.withColumn("training_group", group).persist()
+    frame = materialize(df.withColumn("training_group", group))
     jobs = [(r.cutoff, r.training_group) for r in frame.select("cutoff", "training_group").distinct().orderBy("cutoff", "training_group").collect()]
 
     def one(job: tuple) -> Fitted:

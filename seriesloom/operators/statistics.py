@@ -187,6 +187,26 @@ def intermittence_clusters(df: DataFrame, group_cols: str | Sequence[str], date_
     return attach(df, bucket(shares, "_stat", n_clusters, name, by), keys, name, 0)
 
 
+def series_statistics(
+    df: DataFrame, base: DataFrame, group_cols: str | Sequence[str], date_col: str, value: str, n_clusters: int = 10, cov_mode: str = "reference", extended: bool = False
+) -> DataFrame:
+    """Dispersion, intermittence and cluster (zero runs and autocorrelation on request) of ``base``'s series, joined to ``df`` at once."""
+    keys = names(group_cols)
+    slim = base.select(*keys, date_col, value, *(["sample"] if "sample" in base.columns else []))
+    empty = F.when(F.col(value).isNull() | (F.col(value) == 0), 100.0).otherwise(0.0)
+    stats = slim.where(_train(slim)).groupBy(*keys).agg(F.avg(empty).alias(f"feature_{value}_intermittence"), F.avg(value).alias("_stat"))
+    stats = bucket(stats, "_stat", n_clusters, f"feature_{value}_cluster", ["cutoff"] if "cutoff" in keys else []).drop("_stat")
+    stats = stats.join(dispersion(slim, keys, date_col, value, cov_mode), keys, "full_outer")
+    defaults: dict[str, object] = {f"feature_{value}_cov": 0.0, f"feature_{value}_intermittence": 0.0, f"feature_{value}_cluster": 0}
+    if extended:
+        runs, auto = f"feature_{value}_max_consec_zeros", f"feature_{value}_autocorr_lag1"
+        more = autocorrelation(max_consecutive_zeros(slim, keys, date_col, value), keys, date_col, value)
+        stats = stats.join(more.groupBy(*keys).agg(F.max(runs).alias(runs), F.max(auto).alias(auto)), keys, "full_outer")
+        defaults |= {runs: 0, auto: 0.0}
+    out = df.join(stats, keys, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
 def train_weights(df: DataFrame, group_cols: str | Sequence[str], periods_col: str = "feature_periods", weight_type: str = "linear") -> DataFrame:
     """``train_weight`` on train rows, rising to 1 with the periods: linearly or exponentially; NULL on test rows."""
     if weight_type not in ("linear", "exponential"):

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.checkpoints import materialize
 from seriesloom.functions.frequency import detect_frequency, frequency_params
 from seriesloom.operators import baselines, features, guard, metrics, models, preparation
 from seriesloom.operators.columns import feature_columns
@@ -91,15 +92,17 @@ def run_pipeline(df: DataFrame, date_col: str, group_cols: str | Sequence[str],
             frame = guard.clip_residual_outliers(frame, column, keys, date_col, o.lower_quantile, o.upper_quantile)
         else:
             frame = guard.clip_outliers(frame, column, keys, o.lower_quantile, o.upper_quantile)
+    frame = materialize(frame)  # features and statistics both read it
     windowed = [c for s in spec.signals for c in (f"filled_{s}", s) if c in frame.columns]
     frame = features.run_feature_engineering(
         frame, series, date_col, spec.target, freq, windowed, keys, o.fe_window_size or known["fe_window_size"], o.lags or known["lags"], o.fill_lags, o.n_clusters, lag_mask=o.lag_mask
     )
+    frame = materialize(frame)
     chosen = feature_columns(frame, o.use_lags)
     before = set(frame.columns)
     window = o.bs_window_size or known["bs_window_size"]
     plain = ["feature_periods", "feature_year", "feature_month"]
-    frame = baselines.run_baselines(frame, series, date_col, [spec.target], o.baseline_types, window, plain, o.create_features)
+    frame = materialize(baselines.run_baselines(frame, series, date_col, [spec.target], o.baseline_types, window, plain, o.create_features))
     made = [c for c in frame.columns if c not in before and c.startswith("baseline_")]
     evaluated, backtest = list(made), None
     if o.model:

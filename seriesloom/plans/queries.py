@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.checkpoints import materialize
 from seriesloom.functions.frequency import detect_frequency
 from seriesloom.operators import baselines, columns, features, guard, metrics, models, preparation, statistics
 from seriesloom.plans import panels as P
@@ -318,7 +319,7 @@ def lags_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def feature_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.run_feature_engineering(P.prepared(spark, sf_dir), SERIES, "date", "qty", "MS", ["filled_qty", "qty"], [], extended_stats=True)
+    return features.run_feature_engineering(materialize(P.prepared(spark, sf_dir)), SERIES, "date", "qty", "MS", ["filled_qty", "qty"], [], extended_stats=True)
 
 
 # statistics per series
@@ -648,7 +649,7 @@ def _forecast(model: str, params: dict) -> Query:
 _forecast("LGBM", {"maxIter": 10, "maxDepth": 5})
 _forecast("GBM", {"maxIter": 5, "maxDepth": 3})
 _forecast("RF", {"numTrees": 10, "maxDepth": 6})
-_forecast("LR", {})
+_forecast("LR", {"regParam": 1e-6, "solver": "normal"})
 _forecast("ADA", {"maxIter": 4, "stepSize": 0.5})
 
 

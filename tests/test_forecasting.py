@@ -110,7 +110,7 @@ def test_grouped_metric_wide(spark):
 def test_heuristics():
     assert models.heuristic_params("LGBM", 500, 5) == {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 5, "featureSubsetStrategy": "1.0", "subsamplingRate": 1.0}
     assert models.heuristic_params("RF", 20_000, 60)["maxDepth"] == 30
-    assert models.heuristic_params("LR", 1, 1) == {}
+    assert models.heuristic_params("LR", 1, 1) == {"regParam": 1e-6, "solver": "normal"}
 
 
 def test_mutual_information_sees_dependence():
@@ -124,7 +124,7 @@ def test_mutual_information_sees_dependence():
 @pytest.mark.parametrize("model", ["LR", "RF", "ADA"])
 def test_models_learn_a_line(spark, model):
     df = spark.createDataFrame([(float(i), 2.0 * i, "train" if i < 40 else "test") for i in range(50)], "feature_a double, y double, sample string")
-    params = {"LR": {}, "RF": {"numTrees": 10}, "ADA": {"maxIter": 5, "maxDepth": 5}}[model]
+    params = {"LR": None, "RF": {"numTrees": 10}, "ADA": {"maxIter": 5, "maxDepth": 5}}[model]
     out = models.fit_predict(df, ["feature_a"], "y", model, params)
     worst = out.frame.where("sample = 'train'").agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0]
     assert worst < (1e-3 if model == "LR" else 15)
