@@ -75,36 +75,43 @@ def rules() -> list[tuple[str, Column]]:
         ("length", vote(F.col("n_words") >= 50, F.col("n_words") < 20)),
         ("word_size", vote(mean.between(2.5, 9), ~mean.between(1.5, 14))),
         ("symbols", vote(share("n_symbols", "n_words") < 0.1, share("n_symbols", "n_words") > 0.3)),
-        ("dup_lines", vote(share("n_dup_lines", "n_lines") < 0.1, share("n_dup_lines", "n_lines") > 0.3)),
+        ("dup_lines", vote(share("n_dup_lines", "n_lines") < 0.1, share("n_dup_lines", "n_lines") > 0.5)),
         ("repeats", vote(share("n_repeat_words", "n_words") < 0.1, share("n_repeat_words", "n_words") > 0.3)),
         ("capitals", vote(share("n_caps", "n_words") < 0.15, share("n_caps", "n_words") > 0.5)),
         ("ends", vote(share("n_ends", "n_lines") >= 0.5, (F.col("n_lines") >= 3) & (share("n_ends", "n_lines") < 0.1))),
     ]
 
 
-def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
+#: What is believed before any vote is seen, and how many votes that counts for, as a share of all rows.
+PRIOR, GOOD, BAD, BELIEF = 0.85, 0.995, 0.8, 0.1
+#: A rule votes bad on one good document in a hundred at most; else its two error rates could change places.
+LEAST_GOOD = 0.99
+
+
+def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 300) -> tuple[float, np.ndarray, np.ndarray]:
     """Prior of good and, per rule, P(votes good | good) and P(votes good | bad), from vote patterns with their counts.
 
-    Expectation-maximisation on two classes; abstaining says nothing. Smoothing keeps
-    each rule better than chance in its own direction, which fixes which class is good.
+    Expectation-maximisation on two classes; abstaining says nothing. Estimates start
+    from, and are drawn towards, PRIOR, GOOD and BAD.
     """
     m = len(patterns[0][0]) if patterns else 0
     if not m:
         return 0.5, np.zeros(0), np.zeros(0)
     votes = np.array([[-1 if v is None else v for v in p] for p, _ in patterns])
     counts = np.array([c for _, c in patterns], float)
-    prior, good, bad = 0.85, np.full(m, 0.95), np.full(m, 0.4)
+    total, belief = counts.sum(), BELIEF * counts.sum()
+    prior, good, bad = PRIOR, np.full(m, GOOD), np.full(m, BAD)
     for _ in range(rounds):
         q = posterior(votes, prior, good, bad)
         before = prior, good.copy(), bad.copy()
-        total = counts.sum()
-        prior = float(np.clip((counts @ q + 1) / (total + 2), 0.05, 0.99))
+        prior = float(np.clip((counts @ q + belief * PRIOR) / (total + belief), 0.05, 0.99))
         for j in range(m):
-            cast = votes[:, j] >= 0
-            a, b = (counts * q)[cast], (counts * (1 - q))[cast]
-            yes = votes[cast, j] == 1
-            good[j] = np.clip((a[yes].sum() + 9) / (a.sum() + 10), 0.55, 0.999)
-            bad[j] = np.clip((b[yes].sum() + 4) / (b.sum() + 10), 0.001, good[j] - 0.02)
+            cast, yes = votes[:, j] >= 0, votes[:, j] == 1
+            a, b = counts * q, counts * (1 - q)
+            good[j] = (a[yes].sum() + belief * PRIOR * GOOD) / (a[cast].sum() + belief * PRIOR)
+            bad[j] = (b[yes].sum() + belief * (1 - PRIOR) * BAD) / (b[cast].sum() + belief * (1 - PRIOR))
+        good = np.clip(good, LEAST_GOOD, 0.9995)
+        bad = np.clip(bad, 0.001, good - 0.02)
         if abs(prior - before[0]) + np.abs(good - before[1]).sum() + np.abs(bad - before[2]).sum() < 1e-9:
             break
     return prior, good, bad
