@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import id_and_text, materialize, rows_of, slices
-from seriesloom.llm.tokens import added_strings, load, vocabulary_path
+from seriesloom.llm.tokens import added_strings, load, rank_encoder, vocabulary_path
 
 WINDOW, END = 2048, 1
 #: A space that no visible character follows.
 WIDE = re.compile(r" (?:\s|\Z)")
 #: Open windows a partition keeps at most.
 OPEN = 256
-#: Chunks of text whose ids a worker remembers at most.
-MEMORY = 300_000
+#: Chunks whose ids a worker remembers at most.
+MEMORY = 600_000
 #: Partitions whose leftover windows one task merges.
 MERGED = 32
 
@@ -32,12 +32,13 @@ class Encoder:
 
     The byte-level pattern always starts a pre-token at a space that stands before a
     character which is no white space, so that texts may be cut there and equal chunks
-    share their ids.
+    share their ids. Texts with added tokens are left to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
         self.special = added_strings(self.tokenizer)
+        self.ranks = rank_encoder(self.tokenizer)
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -63,21 +64,17 @@ class Encoder:
         return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        tables = [None if self.special is not None and self.special.search(t) else self.chunks(t) for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        given = lambda t: array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+        whole = [self.ranks is None or (self.special is not None and self.special.search(t)) for t in texts]
+        tables = [[] if w else self.chunks(t) for t, w in zip(texts, whole)]
         known = self.known
-        new = list({c for t in tables if t for c in t if c not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = self._bytes(found.ids)
-        whole = lambda t: self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids)
-        return [whole(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, tables)]
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
+        if len(known) > MEMORY:
+            known.clear()
+        for table in tables:
+            for chunk in table:
+                if chunk not in known:
+                    known[chunk] = array("I", self.ranks.encode_ordinary(chunk)).tobytes()
+        return [given(t) if w else b"".join(map(known.__getitem__, c)) for t, w, c in zip(texts, whole, tables)]
 
 
 class Shelf:

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 
-#: The places at which the byte-level pattern splits a text without UNUSUAL characters.
+#: The places at which the byte-level pattern splits a text without unusual characters.
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+CONTROLS = re.compile("[\x1c-\x1f]")
+FAR = re.compile("[\U00010000-\U0010ffff]")
 
 
-def unusual() -> re.Pattern:
-    """Characters that Python's classes sort otherwise than \\p{L}, \\p{N} and white space: numbers that are no decimal digits, four control characters."""
-    odd = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")]
-    return re.compile("[\x1c-\x1f" + "".join(odd) + "]")
+class Unusual:
+    r"""Finds characters that Python's classes may sort otherwise than \p{L}, \p{N} and white space.
+
+    These are numbers that are no decimal digits, four control characters, and all
+    beyond the basic plane.
+    """
+
+    def __init__(self) -> None:
+        odd = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Nl", "No")]
+        self.near = re.compile("[\x1c-\x1f" + "".join(odd) + "]")
+
+    def search(self, text: str) -> bool:
+        if text.isascii():
+            return CONTROLS.search(text) is not None
+        return self.near.search(text) is not None or FAR.search(text) is not None
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +37,51 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is visible, else one from 256 on."""
+    visible = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
+
+
+class PreTokenModel:
+    """The model of a tokenizer applied to one pre-token at a time, without the library's work around it."""
+
+    def __init__(self, tokenizer) -> None:
+        self.pieces = tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.space = self.letters[32]
+
+    def ids(self, pre_token: str) -> list[int]:
+        body = pre_token[1:] if pre_token[:1] == " " else pre_token
+        if body.isalnum() and body.isascii():
+            spelled = self.space + body if len(body) < len(pre_token) else body
+        else:
+            spelled = pre_token.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.pieces(spelled)]
+
+
+def rank_encoder(tokenizer):
+    """The tokenizer's own vocabulary as ranks for a faster encoder of plain text with the same ids, or None.
+
+    Merging by rank equals merging by the vocabulary's list if the ids of merged pieces
+    rise along that list, which is checked.
+    """
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in merges]
+    if any(x >= y for x, y in zip(made, made[1:])):
+        return None
+    byte = {c: b for b, c in enumerate(byte_letters())}
+    ranks = {bytes(byte[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in byte for c in piece)}
+    for special in tokenizer.get_added_tokens_decoder().values():
+        ranks.pop(special.content.encode(), None)
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
