@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import id_and_text, rows_of, slices
-from seriesloom.llm.tokens import PRE_TOKEN, added_strings, load, unusual, vocabulary_path
+from seriesloom.llm.tokens import PRE_TOKEN, PreTokenModel, Unusual, added_strings, load, vocabulary_path
 
 LIMIT = 512
 #: Pre-tokens whose counts a worker remembers at most.
@@ -21,38 +22,31 @@ class PieceCounts:
     """Pieces of each distinct pre-token, asked of the library once while it is remembered."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.find, self.odd = load(path), PRE_TOKEN.findall, unusual()
+        self.tokenizer, self.find, self.odd = load(path), PRE_TOKEN.findall, Unusual()
         self.special = added_strings(self.tokenizer)
+        self.model = PreTokenModel(self.tokenizer)
         self.known: dict[str, int] = {}
 
-    def frequencies(self, text: str) -> Counter:
-        """Pre-tokens of one text with their frequencies; an added token's string is one pre-token of its own.
-
-        A text with unusual characters is one pre-token in the eyes of this table.
-        """
-        if self.odd.search(text):
-            return Counter([text])
-        if self.special is None or not self.special.search(text):
-            return Counter(self.find(text))
-        found: Counter = Counter(self.special.findall(text))
-        for part in self.special.split(text):
-            found.update(self.find(part))
-        return found
-
     def learn(self, tables: list[Counter]) -> None:
         """Count the pieces of every pre-token of ``tables`` that is not remembered."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list({p for t in tables for p in t if p not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        known = self.known
+        if len(known) > MEMORY:
+            known.clear()
+        for table in tables:
+            for p in table:
+                if p not in known:
+                    known[p] = len(self.model.ids(p))
 
     def totals(self, texts: list[str]) -> list[int]:
-        tables = [self.frequencies(t) for t in texts]
+        """Tokens of each text; one with added tokens or unusual characters is left to the library as a whole."""
+        whole = {i for i, t in enumerate(texts) if self.odd.search(t) or (self.special is not None and self.special.search(t))}
+        tables = [Counter() if i in whole else Counter(self.find(t)) for i, t in enumerate(texts)]
         self.learn(tables)
         of = self.known
-        return [sum(n * of[p] for p, n in t.items()) for t in tables]
+        counts = [sum(map(mul, map(of.__getitem__, t), t.values())) for t in tables]
+        for i in whole:
+            counts[i] = len(self.tokenizer.encode(texts[i], add_special_tokens=False))
+        return counts
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
