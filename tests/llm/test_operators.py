@@ -62,6 +62,15 @@ def test_components_of_long_chains(spark):
     assert {got[i] for i in range(101)} == {0} and got[300] == 200
 
 
+def test_simhash_of_nothing_and_of_null_ids(empty, documents, spark):
+    assert simhash.op1_simhash(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
+    unnamed = documents.where("doc_id = 3").selectExpr("CAST(NULL AS LONG) AS doc_id", "text")
+    rows = simhash.op1_simhash(unnamed.unionByName(documents.where("doc_id = 3").select("doc_id", "text"))).collect()
+    assert {r.component_id for r in rows} == {3} and len(rows) == 2
+    assert [r.component_id for r in simhash.op1_simhash(unnamed).collect()] == [None]
+
+
 def test_keep_one_leaves_one_of_each_group(documents, hard_texts):
     want = set(brute.components([brute.fingerprint(t) for t in hard_texts]))
     kept = simhash.keep_one(documents.unionByName(documents.where("doc_id = 0")))
