@@ -609,7 +609,10 @@ def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.evaluate(_evaluated(spark, sf_dir), "qty", list(_MODELS)).select("model", "metric", rd("value", 4).alias("value"))
 
 
-@query()
+@query(
+    f"WITH {_EVALUATED} "
+    + " UNION ALL ".join(f"SELECT '{n}' AS model, " + ", ".join(f'round_even({e}, 2) AS "{m}"' for m, e in _metric_sql(c).items()) + " FROM ev" for n, c in _MODELS.items())
+)
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metric_table(_evaluated(spark, sf_dir), "qty", list(_MODELS))
 
