@@ -21,7 +21,8 @@ def components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -
     edge, seen = materialize(edge), None
     for _ in range(most_rounds):
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written first, so that the join shuffles both sides and a node with very many neighbours can be split
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

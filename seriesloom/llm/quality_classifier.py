@@ -51,6 +51,19 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:]
 
 
+def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A dictionary per class from its first blocks, MOST_BYTES of them at most."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for label, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = held.setdefault(label, [])
+            if len(own) < MOST_BYTES // BLOCK:
+                own.append(block)
+    if held:
+        made = [dictionary(x) for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(made, pa.binary())], ["label", "dictionary"])
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and intercept of a logistic curve by Newton steps with a weak prior."""
     if not len(y) or y.min() == y.max():
@@ -86,12 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col:
                 i, k, y, b = map(list, zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int32()), pa.array(y, pa.int32()), pa.array(b, pa.binary())], ["id", "k", "label", "block"])
 
-    pieces = rows.where("half = 0").mapInArrow(cut, "id long, k int, label int, block binary")
-    made = []
-    for y in (1, 0):
-        most = MOST_BYTES // BLOCK
-        taken = pieces.where(F.col("label") == y).orderBy(F.xxhash64("id", "k"), "id", "k").limit(most).collect()
-        made.append(dictionary([bytes(r.block) for r in taken]))
+    ordered = rows.where("half = 0").mapInArrow(cut, "id long, k int, label int, block binary")
+    ordered = ordered.repartition("label").sortWithinPartitions("label", F.xxhash64("id", "k"), "id", "k").select("label", "block")
+    found = {r.label: bytes(r.dictionary) for r in ordered.mapInArrow(_dictionaries, "label int, dictionary binary").collect()}
+    made = [found.get(1, b""), found.get(0, b"")]
     shared = docs.sparkSession.sparkContext.broadcast(tuple(made))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

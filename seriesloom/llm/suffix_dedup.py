@@ -16,9 +16,9 @@ from seriesloom.llm.suffix_array import repeated_starts
 
 LENGTH, GRAM = 400, 64
 #: Contexts of one anchor that a suffix array takes at most; larger anchors go window by window.
-CONTEXTS = 4096
+CONTEXTS = 1024
 #: Bytes of one shard's suffix array, about.
-SHARD = 1 << 20
+SHARD = 3 << 18
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _RANDOM = np.random.default_rng(400)
 _LETTERS = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,7 +80,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
-def _chunks(texts: list[bytes], length: int, size: int = 1 << 20) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def _chunks(texts: list[bytes], length: int, size: int = 1 << 19) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Texts in groups of about ``size`` bytes; longer ones in parts that overlap by one window less a byte."""
     numbers, offsets, parts, held = [], [], [], 0
     for i, text in enumerate(texts):
@@ -244,10 +244,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a row. An empty table gives an empty result. Other columns are not read.
 
     Steps: (1) one scan gives each text's digest and anchor hashes; (2) equal texts
-    become one; (3) windows whose anchor is found at one place only are out; (4) the rest, as contexts of up to 2 * LENGTH bytes, is merged by content, and
-    an anchor's different contexts meet in one shard, of which a suffix array by induced
-    sorting and permuted common prefixes tell the repeated windows; (5) windows return
-    to their texts as spans. Texts travel once, compressed; contexts that many documents
+    become one; (3) windows whose anchor is found at one place only are out; (4) the
+    rest, as contexts of up to 2 * LENGTH bytes, is merged by content, and an anchor's
+    different contexts meet in one shard, of which a suffix array by induced sorting and
+    permuted common prefixes tell the repeated windows; (5) windows return to their texts
+    as spans. Texts travel once, compressed; contexts that many documents
     share travel once.
     """
     scanned = materialize(id_and_text(docs, id_col, text_col).mapInArrow(_scan, "id long, n_bytes long, sha binary, anchors array<long>"))
@@ -258,6 +259,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = distinct.select("sha", "least", F.explode("anchors").alias("h"))
     shared = materialize(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     by_text = places.join(shared, "h", "left_semi").groupBy("sha").agg(F.first("least").alias("least"), F.collect_set("h").alias("shared"))
+    by_text = materialize(by_text)  # so that the next join shuffles both sides and a text of many rows can be split
     packed = id_and_text(docs, id_col, text_col).mapInArrow(_packed, "id long, sha binary, z binary")
     texts = packed.join(by_text, "sha").where(F.col("id").eqNullSafe(F.col("least")))
     texts = materialize(texts.select("sha", "z", "shared"))
