@@ -19,6 +19,9 @@ LENGTH, GRAM = 400, 64
 CONTEXTS = 1024
 #: Bytes of one shard's suffix array, about.
 SHARD = 3 << 18
+#: Texts are hashed in parts of about so many bytes, and a position inside them takes so many bits.
+PART = 1 << 19
+PLACE = np.uint64((1 << (2 * PART).bit_length()) - 1)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _RANDOM = np.random.default_rng(400)
 _LETTERS = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,10 +64,9 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
         sizes = np.array([len(p) for p in parts], np.int64)
         begin = np.cumsum(sizes) - sizes
         h = gram_hashes(data)
-        bits = np.uint64(len(h)).item().bit_length()
-        low = np.uint64((1 << bits) - 1)
-        least = window_minima((h & ~low) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
-        at = (least & low).astype(np.int64)
+        # the same bits in every part give way to the position, so that equal windows choose alike wherever they are
+        least = window_minima((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
+        at = (least & PLACE).astype(np.int64)
         owner = np.repeat(np.arange(len(parts)), sizes)[: len(at)]
         valid = np.arange(len(at)) + length <= (begin + sizes)[owner]
         new = np.ones(len(at), bool)
@@ -80,7 +82,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
-def _chunks(texts: list[bytes], length: int, size: int = 1 << 19) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def _chunks(texts: list[bytes], length: int, size: int = PART) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Texts in groups of about ``size`` bytes; longer ones in parts that overlap by one window less a byte."""
     numbers, offsets, parts, held = [], [], [], 0
     for i, text in enumerate(texts):
@@ -248,8 +250,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest, as contexts of up to 2 * LENGTH bytes, is merged by content, and an anchor's
     different contexts meet in one shard, of which a suffix array by induced sorting and
     permuted common prefixes tell the repeated windows; (5) windows return to their texts
-    as spans. Texts travel once, compressed; contexts that many documents
-    share travel once.
+    as spans. Texts travel once, compressed; contexts that many documents share travel
+    once.
     """
     scanned = materialize(id_and_text(docs, id_col, text_col).mapInArrow(_scan, "id long, n_bytes long, sha binary, anchors array<long>"))
     distinct = scanned.groupBy("sha").agg(
