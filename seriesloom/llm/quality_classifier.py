@@ -99,7 +99,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col:
                 i, k, y, b = map(list, zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int32()), pa.array(y, pa.int32()), pa.array(b, pa.binary())], ["id", "k", "label", "block"])
 
-    ordered = rows.where("half = 0").mapInArrow(cut, "id long, k int, label int, block binary")
+    # a hash of each block's place decides first, so that only about MOST_BYTES of a class are shuffled to its dictionary
+    learned = rows.where("half = 0")
+    share = {r.label: min(1.0, MOST_BYTES / BLOCK / (r.n or 1)) for r in learned.groupBy("label").agg(F.sum(F.ceil(F.octet_length("text") / BLOCK)).alias("n")).collect()}
+    most = F.lit(0)
+    for label, part in share.items():
+        most = F.when(F.col("label") == label, int(part * (1 << 30))).otherwise(most)
+    ordered = learned.mapInArrow(cut, "id long, k int, label int, block binary").where(F.pmod(F.xxhash64("id", "k"), F.lit(1 << 30)) < most)
     ordered = ordered.repartition("label").sortWithinPartitions("label", F.xxhash64("id", "k"), "id", "k").select("label", "block")
     found = {r.label: bytes(r.dictionary) for r in ordered.mapInArrow(_dictionaries, "label int, dictionary binary").collect()}
     made = [found.get(1, b""), found.get(0, b"")]
