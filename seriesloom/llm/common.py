@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.checkpoints import materialize, shared_folder
 
-__all__ = ["WORD", "bounded_labels", "held_out", "id_and_text", "materialize", "read", "rows_of", "shared_folder", "slices"]
+__all__ = ["WORD", "bounded_labels", "held_out", "id_and_text", "materialize", "read", "row_key", "rows_of", "shared_folder", "slices"]
 
 #: A word is a run of anything but the space and the control characters 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,11 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def row_key(docs: DataFrame):
+    """What tells rows apart: a digest of all columns, so that only rows alike in every column share it."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}))
+
+
 def rows_of(batch: pa.RecordBatch) -> tuple[pa.Array, list[bytes]]:
     """Ids and UTF-8 texts of a batch; a null text is empty."""
     texts = batch.column(1).cast(pa.binary()).to_pylist()

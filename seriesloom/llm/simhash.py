@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import id_and_text, materialize, rows_of, slices
+from seriesloom.llm.common import id_and_text, materialize, row_key, rows_of, slices
 from seriesloom.llm.graph import components
+from seriesloom.llm.near_copies import near_copies
 
 SEED = 42
 #: Buckets of more fingerprints than this are linked through shared ball centres.
@@ -135,13 +136,17 @@ def op1_simhash(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component, the document with the smallest doc_id stays; a null doc_id stays.
+    """Pipeline stage: of each group of near copies, one row stays: the smallest doc_id, null last, then the smallest row digest.
 
-    All columns stay as they are. Several rows under the staying doc_id leave one.
+    Near copies share 0.8 of their five-word shingles or more (``near_copies``); the
+    three words and two bits of ``op1_simhash`` are for its own query alone. All columns
+    stay as they are. Rows alike in every column are one row here.
     """
-    ids = near_duplicates(docs).where("id <=> component").groupBy("id").agg(F.count("*").alias("rows"))
-    ids = materialize(ids.where("id IS NOT NULL"))
-    kept = docs.join(ids.select(F.col("id").alias("kept_id")), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    if not ids.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    rows = near_copies(docs).groupBy("component", "id", "row").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "rows")
+    best = rows.groupBy("component").agg(F.min(order).alias("best"))
+    best = materialize(best.select(F.col("best.row").alias("_row"), F.col("best.rows").alias("_rows")))
+    kept = docs.withColumn("_row", row_key(docs)).join(best.select("_row"), "_row", "left_semi")
+    if not best.where("_rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.select(docs.columns)
