@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import WORD, materialize
+from seriesloom.llm.common import WORD, materialize, row_key
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -61,9 +61,12 @@ def draw_key(id_col: str, weight: Column, seed: str = "mix") -> Column:
     return -F.ln(u) / weight
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, row: Column | None = None) -> DataFrame:
     """Per row of ``docs``: id, source, size, source_size, target and taken (words the mix takes, repeats counted).
 
+    ``row`` is carried along as a column of that name, to tell rows with equal ids apart;
+    it also orders those of one size.
+
     A source takes ``floor(target / source_size)`` complete epochs of all its documents;
     the rest of its target is filled by documents in the order of their exponential keys
     (weighted sampling without replacement), and the last one contributes only the words
@@ -79,9 +82,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col(text_col).cast("string").alias("text"),
+        *([] if row is None else [row.alias("row")]),
     )
+    own = ["id", "source", "size"] if row is None else ["id", "source", "size", "row"]
     key = draw_key("id", text_quality() if weight is None else weight)
-    rows = sized.select("id", "source", "size", key.alias("key"))
+    rows = sized.select(*own, key.alias("key"))
     rows = materialize(rows.withColumn("slice", F.floor(F.col("key") / (F.col("key") + 1.0) * SLICES).cast("int")))
     cells = rows.groupBy("source", "slice").agg(F.sum("size").alias("cell"))
     sums = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
@@ -101,10 +106,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = rows.join(cells, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("slice") == F.col("cell_slice")))
     ends_here = (F.col("before") < F.col("budget")) & (F.col("before") + F.col("cell") > F.col("budget"))
     whole = placed.where(~ends_here).withColumn("part", F.when(F.col("before") < F.col("budget"), F.col("size")).otherwise(0))
-    order = W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("source").orderBy("key", "id", "size", *own[3:]).rowsBetween(W.unboundedPreceding, -1)
     at = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     last = placed.where(ends_here).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - at)))
-    out = ["id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken")]
+    out = [*own, "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken")]
     return whole.select(*out).unionByName(last.select(*out))
 
 
@@ -115,9 +120,15 @@ def op9_mixing(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the rows of ``docs``, each as often as the mix takes it (half a text or more rounds up).
 
-    Documents without words have nothing to take and go.
+    Documents without words have nothing to take and go; a null doc_id or one of several
+    rows is no reason to. Times belong to the row, told apart by ``row_key``: rows alike
+    in every column are one row that comes as often as all of them are taken.
     """
-    times = mix(docs).where("taken > 0").select("id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
-    times = times.where("times > 0").groupBy(F.col("id").alias("mixed_id")).agg(F.max("times").alias("times"))
-    kept = docs.join(times, F.col("doc_id") == F.col("mixed_id"))
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    times = mix(docs, row=row_key(docs)).where("taken > 0")
+    times = times.select(F.col("row").alias("_row"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    times = materialize(times.groupBy("_row").agg(F.sum("times").cast("int").alias("_times"), F.count("*").alias("_rows")).where("_times > 0"))
+    keyed = docs.withColumn("_row", row_key(docs))
+    if not times.where("_rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["_row"])
+    kept = keyed.join(times, "_row")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)

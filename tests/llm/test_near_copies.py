@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.llm import near_copies, simhash
+from seriesloom.llm import mixing, near_copies, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -80,3 +80,20 @@ def test_rows_are_kept_by_content_not_by_id(spark, prose):
     unnamed = [(None, a), (None, b), (None, b + " x"), (None, b)]
     kept = simhash.keep_one(spark.createDataFrame(unnamed, SCHEMA)).collect()
     assert len(kept) == 2 and {(r.text or "")[:20] for r in kept} == {a[:20], b[:20]}
+
+
+def test_mixed_rows_need_no_id_of_their_own(spark, prose):
+    texts = {k: prose(k, 30 + 5 * k) for k in range(12)}
+    rows = [(None if k < 4 else k // 3, texts[k], "one") for k in range(12)] + [(None, texts[0], "one"), (7, texts[5], "two"), (8, "", "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = Counter()
+    for r in mixing.mix(docs, row=mixing.row_key(docs)).collect():
+        if r.size:
+            took[r.row] += int(r.taken / r.size + 0.5)
+    # the one source has all rows but two, the other at most three times its size
+    got = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(docs).collect())
+    keys = {r.row: (r.doc_id, r.text) for r in docs.select("doc_id", "text", mixing.row_key(docs).alias("row")).collect()}
+    assert got == Counter({keys[k]: n for k, n in took.items() if n})
+    words = sum(len(brute.words(t)) * n for (_, t), n in got.items())
+    assert abs(words - sum(len(brute.words(t)) for _, t, _ in rows)) <= max(map(len, map(brute.words, texts.values())))
+    assert any(i is None for i, _ in got) and len({t for i, t in got if i == 1}) > 1
