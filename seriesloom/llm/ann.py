@@ -97,11 +97,15 @@ def _nearest(k: int):
 
 
 def _block(held: dict[bool, list], k: int) -> Iterator[pa.RecordBatch]:
-    """The ``k`` nearest rows of one block for each of its queries; ties to the smaller id."""
+    """The ``k`` nearest ids of one block for each of its queries, each with its smallest distance; ties to the smaller id."""
     if not held[True] or not held[False]:
         return
     q_ids, r_ids = (np.array([i for i, _ in held[x]], np.int64) for x in (True, False))
     q, r = (np.array([np.frombuffer(v, "<f8") for _, v in held[x]]) for x in (True, False))
+    by_id = np.argsort(r_ids, kind="stable")
+    r_ids, r = r_ids[by_id], r[by_id]
+    firsts = np.flatnonzero(np.r_[True, r_ids[1:] != r_ids[:-1]])
+    most_at = min(k, len(firsts)) - 1
     scale = max(np.abs(r).max(), np.abs(q).max())
     rs, out = r / scale, [[], [], []]
     square = (rs**2).sum(1)
@@ -109,17 +113,38 @@ def _block(held: dict[bool, list], k: int) -> Iterator[pa.RecordBatch]:
         part = q[at : at + 256] / scale
         rough = square - 2 * part @ rs.T + (part**2).sum(1)[:, None]
         rough[q_ids[at : at + 256][:, None] == r_ids] = np.inf
-        most = np.partition(rough, min(k, len(r)) - 1, axis=1)[:, min(k, len(r)) - 1]
+        most = np.partition(np.minimum.reduceat(rough, firsts, axis=1), most_at, axis=1)[:, most_at]
         for j, row in enumerate(rough):
             near = np.flatnonzero((row <= most[j] + 1e-9 * (1 + abs(most[j]))) & np.isfinite(row) if np.isfinite(most[j]) else np.isfinite(row))
             exact = np.sqrt(((r[near] - q[at + j]) ** 2).sum(1))
-            best = near[order := np.lexsort((r_ids[near], exact))[:k]]
+            order = np.lexsort((r_ids[near], exact))
+            order = order[np.sort(np.unique(r_ids[near][order], return_index=True)[1])[:k]]
+            best = near[order]
             out[0].append(np.full(len(best), q_ids[at + j]))
             out[1].append(r_ids[best])
             out[2].append(exact[order])
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "id", "score"])
 
 
+def _compared(both: DataFrame, k: int, block: int) -> DataFrame:
+    """(query_id, rank, id, score) of the ``k`` nearest among rows and queries of equal (dim, t, b), compared block by block."""
+    # tables x axes rows: bounded by the vector length, not by the number of vectors
+    sizes = materialize(both.groupBy("dim", "t", "b").agg(F.count_if(~F.col("q")).alias("nr"), F.count_if("q").alias("nq")).where("nr > 0 AND nq > 0"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    sizes = F.broadcast(sizes.select("dim", "t", "b", parts("nr").alias("pr"), parts("nq").alias("pq")))
+    placed = both.join(sizes, ["dim", "t", "b"])
+    own = F.when(F.col("q"), F.pmod(F.xxhash64("id"), F.col("pq"))).otherwise(F.pmod(F.xxhash64("id"), F.col("pr"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("q"), F.col("pr")).otherwise(F.col("pq")) - 1))
+    placed = placed.select("dim", "t", "b", own.alias("own"), others.alias("other"), "q", "id", "v")
+    block_key = [F.when(F.col("q"), F.col("other")).otherwise(F.col("own")).alias("br"), F.when(F.col("q"), F.col("own")).otherwise(F.col("other")).alias("bq")]
+    blocks = placed.select("dim", "t", "b", *block_key, "q", "id", "v")
+    key = ["dim", "t", "b", "br", "bq"]
+    found = blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(_nearest(k), "query_id long, id long, score double")
+    best = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK
 ) -> DataFrame:
@@ -130,7 +155,8 @@ def nearest(
     that meet in a bucket are compared exactly (Euclidean, double precision, original
     vectors), block by block: a bucket is split into blocks of about ``block`` rows and
     of as many queries, so that a hot bucket is spread over tasks and none is capped.
-    Only each block's ``k`` best per query leave it.
+    Only each block's ``k`` best ids per query leave it. A query that meets fewer than
+    ``k`` ids in all its buckets is compared with all rows, in blocks as well.
 
     Null, zero or non-finite vectors and null ids take no part. A query's own id is no
     candidate, repeated rows of an id count once with their smallest distance, ties go
@@ -138,27 +164,21 @@ def nearest(
     Vectors are compared with those of the same length. An empty table gives an empty
     result.
     """
-    rows = usable(vectors, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col).dropDuplicates(["id", "v"])
     schema = "dim int, t int, buckets array<int>, id long, v binary"
+
+    def hashed(of: DataFrame, tables: int, probes: int, asks: bool) -> DataFrame:
+        found = of.mapInArrow(_hashed(tables, probes), schema)
+        return found.select("dim", "t", F.explode("buckets").alias("b"), "id", "v", F.lit(asks).alias("q"))
+
     asked = rows.where(F.col("id") % every == 0)
-    index = rows.mapInArrow(_hashed(tables, 1), schema).select("dim", "t", F.col("buckets")[0].alias("b"), "id", "v", F.lit(False).alias("q"))
-    probe = asked.mapInArrow(_hashed(tables, probes), schema).select("dim", "t", F.explode("buckets").alias("b"), "id", "v", F.lit(True).alias("q"))
-    both = index.unionByName(probe)
-    # tables x axes rows: bounded by the vector length, not by the number of vectors
-    sizes = materialize(both.groupBy("dim", "t", "b").agg(F.count_if(~F.col("q")).alias("nr"), F.count_if("q").alias("nq")).where("nr > 0 AND nq > 0"))
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
-    sizes = F.broadcast(sizes.select("dim", "t", "b", parts("nr").alias("pr"), parts("nq").alias("pq")))
-    placed = both.join(sizes, ["dim", "t", "b"])
-    own = F.when(F.col("q"), F.pmod(F.xxhash64("id"), F.col("pq"))).otherwise(F.pmod(F.xxhash64("id"), F.col("pr"))).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.when(F.col("q"), F.col("pr")).otherwise(F.col("pq")) - 1))
-    placed = placed.select("dim", "t", "b", own.alias("own"), others.alias("other"), "q", "id", "v")
-    block_key = [F.when(F.col("q"), F.col("other")).otherwise(F.col("own")).alias("br"), F.when(F.col("q"), F.col("own")).otherwise(F.col("other")).alias("bq")]
-    blocks = placed.select("dim", "t", "b", *block_key, "q", "id", "v")
-    key = ["dim", "t", "b", "br", "bq"]
-    found = blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(_nearest(k), "query_id long, id long, score double")
-    best = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    best = materialize(_compared(hashed(rows, tables, 1, False).unionByName(hashed(asked, tables, probes, True)), k, block))
+    full = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    short = materialize(asked.select("id").distinct().join(full, F.col("id") == F.col("query_id"), "left_anti"))
+    if short.isEmpty():
+        return best
+    whole = hashed(rows, 1, 1, False).unionByName(hashed(asked.join(short, "id", "left_semi"), 1, 1, True)).withColumn("b", F.lit(0))
+    return best.join(full, "query_id", "left_semi").unionByName(_compared(whole, k, block))
 
 
 def op4_ann(vectors: DataFrame) -> DataFrame:
