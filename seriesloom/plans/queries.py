@@ -511,7 +511,7 @@ def lr_baseline_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def boosted_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.date_features(features.periods(P.prepared(spark, sf_dir), SERIES, "date", "qty"), "date")
-    out = baselines.boosted_baseline(rows, ["l_suppkey"], "date", ["qty"], ["feature_periods", "feature_month"], trees=5)
+    out = baselines.boosted_baseline(rows, ["l_suppkey"], "date", ["qty"], ["feature_periods", "feature_month"])
     return out.select(*SERIES, "date", "baseline_qty_lgbm")
 
 
