@@ -153,9 +153,10 @@ class Fitted:
 
 
 def fit_predict(
-    df: DataFrame, features: Sequence[str], target: str, model: str = "LGBM", params: dict | None = None, use_weights: bool = False, seed: int = 42, tune: bool = False, search: str = "halving"
-) -> Fitted:
-    """Fits on train rows (missing target as 0) and predicts all rows, at least 0."""
+    df: DataFrame, features: Sequence[str], target: str, model: str = "LGBM", params: dict | None = None, use_weights: bool = False, seed: int = 42, tune: bool = False, search: str = "halving",
+    date_col: str | None = None, most: int | None = None,
+) -> Fitted:
+    """Fits on train rows (missing target as 0) and predicts all rows, at least 0. ``date_col`` and ``most`` are for tuning."""
     rows, inputs = imputed(df, features, model)
     rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).withColumn("_y", F.coalesce(F.col(target).cast("double"), F.lit(0.0)))
     weight = "_weight" if use_weights else None
@@ -165,7 +166,7 @@ def fit_predict(
     if params is None:
         params = heuristic_params(model, train.count(), len(features))
     if tune:
-        params = tune_parameters(train, model, weight, search=search, seed=seed)
+        params = tune_parameters(train, model, weight, search=search, most=most, seed=seed, date_col=date_col)
     if model == "ADA":
         fitted = fit_adaboost(train.select("features", "_y", *([weight] if weight else [])), "_y", params, weight, seed)
     else:
@@ -178,17 +179,19 @@ def fit_predict(
     return Fitted(out, fitted, params, sorted(zip([c.removeprefix("_x_") for c in inputs], scores.tolist()), key=lambda x: -x[1]))
 
 
-def tune_parameters(train: DataFrame, model: str, weight: str | None = None, candidates: Sequence[dict] | None = None, search: str = "halving", folds: int = 4, most: int = 8, seed: int = 42, date_col: str | None = None) -> dict:
+def tune_parameters(train: DataFrame, model: str, weight: str | None = None, candidates: Sequence[dict] | None = None, search: str = "halving", folds: int = 4, most: int | None = None, seed: int = 42, date_col: str | None = None) -> dict:
     """The best of the candidate parameters by root mean squared error over expanding folds.
 
     Folds follow the date where there is one, else a fixed hash: fold k trains on the
-    first k parts and validates on part k+1. ``grid`` tries all, ``random`` some,
-    ``halving`` keeps the better third of them as the training share grows.
+    first k parts and validates on part k+1. ``grid`` tries all, ``random`` draws
+    ``most`` of them (30), ``halving`` draws ``most`` (as many as 3,000 resources give
+    2 rows a fold) and keeps the better third of them as the training share grows.
     """
     if candidates is None:
         table = grid(model)
         candidates = [dict(zip(table, v)) for v in itertools.product(*table.values())]
     order = np.random.default_rng(seed).permutation(len(candidates))
+    most = most or (30 if search == "random" else 3000 // (2 * folds))
     pool = list(candidates) if search == "grid" else [candidates[i] for i in order[:most]]
     key = F.unix_date(date_col).cast("double") if date_col else F.pmod(F.xxhash64("features", F.lit(seed)), F.lit(1 << 20)).cast("double")
     edges = train.agg(F.percentile(key, F.array(*[F.lit(i / (folds + 1)) for i in range(1, folds + 1)])).alias("e")).first().e
@@ -236,14 +239,20 @@ def run_backtesting(
     df: DataFrame, group_cols: str | Sequence[str], features: Sequence[str], target: str, training_group: str | None = None, model: str = "LGBM", params: dict | None = None,
     use_weights: bool = False, use_guardrail: bool = False, baseline_col: str | None = None, guardrail_limit: float = 2.5, best_features: bool | Sequence[str] = False,
     n_best_features: int = 15, tune_hyperparameters: bool = False, search_method: str = "halving", parallel: int = 2, seed: int = 42,
+    date_col: str | None = None, n_candidates: int | None = None,
 ) -> Backtest:
-    """One model per cutoff and training group, fitted in parallel driver threads over one frame, then the guardrail."""
+    """One model per cutoff and training group, fitted in parallel driver threads over one frame, then the guardrail.
+
+    Tuning folds follow ``date_col``, by default ``date`` where the frame has it;
+    ``n_candidates`` is the ``most`` of ``tune_parameters``.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model: {model}")
     if use_guardrail and not baseline_col:
         raise ValueError("a guardrail needs baseline_col")
     group = F.col(training_group).cast("int") if training_group else F.lit(1)
     frame = materialize(df.withColumn("training_group", group))
+    date_col = date_col or ("date" if "date" in df.columns else None)
     jobs = [(r.cutoff, r.training_group) for r in frame.select("cutoff", "training_group").distinct().orderBy("cutoff", "training_group").collect()]
 
     def one(job: tuple) -> Fitted:
@@ -253,7 +262,7 @@ def run_backtesting(
             chosen = best_by_mutual_information(rows.where(F.col("sample") == "train"), group_cols, features, target, n_best_features)
         elif best_features:
             chosen = list(best_features)
-        return fit_predict(rows, chosen, target, model, params, use_weights, seed, tune_hyperparameters, search_method)
+        return fit_predict(rows, chosen, target, model, params, use_weights, seed, tune_hyperparameters, search_method, date_col, n_candidates)
 
     with ThreadPoolExecutor(max(1, parallel)) as pool:
         fitted = dict(zip(jobs, pool.map(one, jobs)))
@@ -266,6 +275,10 @@ def run_backtesting(
     return Backtest(out, fitted)
 
 
+#: Pairs of rows held at once while neighbours are sought.
+PAIRS = 1 << 21
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Nearest-neighbour estimate of the mutual information of two samples, at least 0 (Kraskov, Stoegbauer and Grassberger, 2004)."""
     n = len(x)
@@ -274,20 +287,24 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
         return 0.0
     scale = lambda v: (v - v.mean()) / (v.std() or 1.0)
     x, y = scale(x), scale(y)
-    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
-    both = np.maximum(dx, dy)
-    np.fill_diagonal(both, np.inf)
-    radius = np.partition(both, k - 1, axis=1)[:, k - 1][:, None]
-    nx, ny = (dx < radius).sum(1), (dy < radius).sum(1)
+    nx, ny = np.empty(n, np.int64), np.empty(n, np.int64)
+    step = max(1, PAIRS // n)
+    for at in range(0, n, step):
+        own = np.arange(at, min(at + step, n))
+        dx, dy = np.abs(x[own, None] - x), np.abs(y[own, None] - y)
+        both = np.maximum(dx, dy)
+        both[own - at, own] = np.inf
+        radius = np.partition(both, k - 1, axis=1)[:, k - 1][:, None]
+        nx[own], ny[own] = (dx < radius).sum(1), (dy < radius).sum(1)
     harmonic = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])
     psi = lambda m: harmonic[np.maximum(m, 1) - 1] - 0.5772156649015329
     return max(0.0, float(psi(np.array([n]))[0] + psi(np.array([k]))[0] - (psi(nx) + psi(ny)).mean()))
 
 
-def feature_scores(train: DataFrame, group_cols: str | Sequence[str], features: Sequence[str], target: str, share: float = 0.25, seed: int = 42, most_rows: int = 2000) -> DataFrame:
+def feature_scores(train: DataFrame, group_cols: str | Sequence[str], features: Sequence[str], target: str, share: float = 0.25, seed: int = 42) -> DataFrame:
     """(feature, score): mutual information with the target inside each sampled series, averaged over series.
 
-    A series' latest ``most_rows`` rows are compared, since the estimate needs all pairs of them.
+    All rows of a series are compared with each other, block by block, so that memory does not grow with their pairs.
     """
     keys = names(group_cols)
     rows = train.join(sample_keys(train, keys, share, seed), keys, "left_semi")
@@ -295,7 +312,6 @@ def feature_scores(train: DataFrame, group_cols: str | Sequence[str], features:
     rows = rows.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("_y"))
 
     def scores(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.tail(most_rows)
         y = pdf["_y"].to_numpy()
         return pd.DataFrame({"feature": columns, "score": [mutual_information(pdf[c].to_numpy(), y) for c in columns]})
 

@@ -109,7 +109,7 @@ def run_pipeline(df: DataFrame, date_col: str, group_cols: str | Sequence[str],
         chosen += [c for c in frame.columns if c not in before and c.startswith("feature_")]
         backtest = models.run_backtesting(
             frame, keys, chosen, spec.target, o.training_group, o.model, o.params, o.use_weights, o.use_guardrail, o.baseline_col or f"baseline_{spec.target}_ma_{window}",
-            o.guardrail_limit, o.best_features or o.use_feature_selection, o.n_best_features, o.tune_hyperparameters, o.search_method, 2 if o.use_parallel else 1, o.seed,
+            o.guardrail_limit, o.best_features or o.use_feature_selection, o.n_best_features, o.tune_hyperparameters, o.search_method, 2 if o.use_parallel else 1, o.seed, date_col,
         )
         frame = backtest.frame
         evaluated.append("prediction")

@@ -36,3 +36,17 @@ def test_features_are_scored_over_all_rows(spark):
     psi = lambda m: np.r_[0, np.cumsum(1 / np.arange(1, 2601))][np.maximum(m, 1) - 1] - 0.5772156649015329
     want = psi(np.array([2600]))[0] + psi(np.array([3]))[0] - (psi((dx < r).sum(1)) + psi((dy < r).sum(1))).mean()
     assert abs(score - max(0.0, want)) < 1e-9
+
+
+def test_backtests_tune_on_dates_with_the_whole_draw(spark, monkeypatch):
+    rows = [("a", "c", datetime.date(2024, 1, 1) + datetime.timedelta(i), "train" if i < 40 else "test", float(i), float(i % 5)) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, cutoff string, day date, sample string, y double, f double")
+    asked, tune = [], models.tune_parameters
+    monkeypatch.setattr(models, "tune_parameters", lambda *a, **b: asked.append(b) or {"maxIter": 2})
+    models.run_backtesting(df, ["k", "cutoff"], ["f"], "y", tune_hyperparameters=True, date_col="day", n_candidates=5)
+    assert [(x["date_col"], x["most"]) for x in asked] == [("day", 5)]
+    tried = []
+    monkeypatch.setattr(models, "estimator", lambda model, y, p, *a: tried.append(p["i"]) or models.LinearRegression(featuresCol="features", labelCol="_y"))
+    train = models.VectorAssembler(inputCols=["f"], outputCol="features").transform(df.where("sample = 'train'")).withColumnRenamed("y", "_y")
+    tune(train, "GBM", candidates=[{"i": i} for i in range(12)], search="random", folds=1, date_col="day")
+    assert sorted(tried) == list(range(12))
