@@ -42,6 +42,56 @@ def components(prints, radius=2):
     return [find(i) for i in range(len(prints))]
 
 
+def shingles(text, n=5):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def near_copy_groups(texts):
+    """Index of the smallest member reachable over pairs whose shingle sets are similar by 0.8 or more, per item."""
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (a == b) if not (a and b) else 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def without_passages(texts, length=200, least=51):
+    """Each text without the spans of repeated ``length``-byte strings that hold ``least`` whole words or more."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\x01" * length
+        kept, at = [], 0
+        for m in re.finditer(b"\x01+", gone):
+            inside = [w for w in re.finditer(rb"\S+", d) if m.start() <= w.start() and w.end() <= m.end()]
+            if len(inside) >= least:
+                a = m.start() if m.start() == 0 or d[m.start() - 1 : m.start()].isspace() or d[m.start() : m.start() + 1].isspace() else inside[0].start()
+                b = m.end() if m.end() == len(d) or d[m.end() : m.end() + 1].isspace() or d[m.end() - 1 : m.end()].isspace() else inside[-1].end()
+                # from a cut word on, the blanks beside it go
+                if a == inside[0].start() and a != m.start():
+                    a = m.start() + re.match(rb"\S*", d[m.start() :]).end()
+                if b == inside[-1].end() and b != m.end():
+                    b = m.end() - re.match(rb"\S*", d[: m.end()][::-1]).end()
+                kept.append(d[at:a])
+                at = b
+        out.append(b"".join([*kept, d[at:]]).decode())
+    return out
+
+
 def repeated_bytes(texts, length):
     """(removed, spans, kept sha256) per text."""
     data = [(t or "").encode() for t in texts]

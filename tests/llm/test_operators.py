@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,17 +169,38 @@ def test_suffix_dedup_edge_cases(documents, clashing, empty, spark):
     assert {r.n_removed == r.n_bytes for r in suffix_dedup.op3_suffix_dedup(twice.unionByName(twice)).collect()} == {True}
 
 
-def test_cut_documents_stay_text(documents, hard_texts):
+def test_documents_lose_their_repeated_passages(documents, hard_texts):
     out = suffix_dedup.without_repeats(documents)
     assert out.columns == documents.columns
-    got, want = by_id(out), brute.repeated_bytes(hard_texts, 400)
+    got, want = by_id(out), brute.without_passages(hard_texts)
     for i, t in enumerate(hard_texts):
-        if want[i][0] == 0:
-            assert got[i].text == t
-        elif want[i][0] == len(t.encode()):
+        if t and not want[i].strip() and want[i] != t:
             assert i not in got
         else:
-            assert len(got[i].text) == got[i].n_chars
+            assert (got[i].text or "") == want[i]
+            assert got[i].text is None or len(got[i].text) == got[i].n_chars
+
+
+def test_passages_between_the_two_lengths(spark, prose):
+    """Passages of 51 words go and of 49 stay, both far under 400 bytes; several tasks, null and repeated ids."""
+    passages = {n: " ".join(prose(n, n).replace(".", "").split()[:n]) for n in (49, 51, 55, 60)}
+    assert all(len(p) < 400 for p in passages.values())
+    texts = [f"{prose(900 + i, 25)} {p} {prose(1900 + i, 25)}" for i in range(3) for p in passages.values()]
+    texts += [prose(3000 + i, 40) for i in range(20)] + [passages[49]] * 2 + [passages[60]] * 2
+    rows = [(None if i % 5 == 0 else i // 2, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    want = sorted(t for t in brute.without_passages(texts) if t.strip())
+    assert sorted(r.text for r in suffix_dedup.without_repeats(docs).collect()) == want
+    assert sum(passages[49] in t for t in want) == 5 and not any(passages[n] in t for t in want for n in (51, 55, 60))
+
+
+def test_texts_of_one_letter_stay_small(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a" * 300_000, "ab" * 100_000])], ["id", "text"])
+    (found,) = suffix_dedup._scan(400, 64)(iter([batch]))
+    assert max(map(len, found.column(4).to_pylist())) <= 4
+    docs = spark.createDataFrame([(1, "a" * 300_000), (2, "ab" * 100_000), (3, "a" * 399)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.op3_suffix_dedup(docs).collect()}
+    assert got == {1: (300_000, 1), 2: (200_000, 1), 3: (0, 0)}
 
 
 # 4

@@ -43,14 +43,15 @@ def test_each_stage_does_its_work(spark, tables, tmp_path):
     assert sorted(r.doc_id for r in clean) == left
     assert not {i for i in left if 120 <= i < 180 and i % 3 == 0}
 
-    first = brute.components([brute.fingerprint(text[i]) for i in left])
+    first = brute.near_copy_groups([text[i] for i in left])
     stay = sorted({left[j] for j in first})
     assert sorted(r.doc_id for r in single) == stay
 
-    removed = dict(zip(stay, brute.repeated_bytes([text[i] for i in stay], 400)))
+    left_over = dict(zip(stay, brute.without_passages([text[i] for i in stay])))
     got = {r.doc_id: r.text for r in cut}
-    assert set(got) == {i for i in stay if removed[i][0] < len((text[i] or "").encode()) or removed[i][0] == 0}
-    assert all(len((got[i] or "").encode()) == len((text[i] or "").encode()) - removed[i][0] for i in got)
+    assert set(got) == {i for i in stay if left_over[i].strip() or left_over[i] == (text[i] or "")}
+    assert all((got[i] or "") == left_over[i] for i in got)
+    assert sum(left_over[i] != (text[i] or "") for i in got) == 10
 
     sizes = defaultdict(int)
     for r in cut:
