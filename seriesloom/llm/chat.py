@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Turns of one part that one row holds at most.
+TURNS = 256
+
 
 def render(role: Column, text: Column) -> Column:
     """One turn as text, between role marks; a null role or text renders as empty."""
@@ -47,33 +51,53 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def examples(segments: DataFrame) -> DataFrame:
-    """One row per pair for conversations that fit one row: prompt, chosen and rejected text and their segment masks."""
-    ordered = lambda part: F.array_sort(
-        F.collect_list(F.when(F.col("part") == part, F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "rendered", "mask")))
-    )
-    rows = segments.groupBy("pair_id").agg(*[ordered(p).alias(p) for p in ("prompt", "chosen", "rejected")])
-    text = lambda p: F.concat_ws("", F.col(f"{p}.rendered")).alias(p)
-    return rows.select("pair_id", *[text(p) for p in ("prompt", "chosen", "rejected")], *[F.col(f"{p}.mask").alias(f"{p}_mask") for p in ("chosen", "rejected")])
+    """One row per pair: its prompt, chosen and rejected texts and, per completion, its turns' masks and lengths.
+
+    Columns: pair_id, block, piece, prompt, chosen, rejected, and for both completions
+    ``<part>_mask`` (1 or 0 per turn) and ``<part>_chars`` (characters per rendered turn,
+    so that masks can be laid over the text). A part without turns is an empty text with
+    empty lists. A pair has further rows if its turn numbers pass TURNS (``block``, the
+    number divided by TURNS) or a part has more than TURNS turns within a block
+    (``piece``); their texts follow on one another, so that no conversation is gathered
+    as a whole, however long it is.
+    """
+    block = F.floor(F.col("turn") / TURNS).cast("long").alias("block")
+    none = F.lit("")
+    # both the numbering and the grouping find their rows dealt by pair and block
+    rows = segments.select("pair_id", block, "part", "turn", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text"), "rendered", "mask")
+    rows = rows.repartition("pair_id", "block")
+    place = F.row_number().over(W.partitionBy("pair_id", "block", "part").orderBy("turn", "role", "text")) - 1
+    rows = rows.withColumn("piece", F.floor(place / TURNS).cast("long"))
+    turn = F.struct("turn", "role", "text", "rendered", "mask")
+    parts = ("prompt", "chosen", "rejected")
+    rows = rows.groupBy("pair_id", "block", "piece").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in parts])
+    out = [F.concat_ws("", F.col(f"{p}.rendered")).alias(p) for p in parts]
+    for p in parts[1:]:
+        out += [F.col(f"{p}.mask").alias(f"{p}_mask"), F.transform(F.col(f"{p}.rendered"), F.char_length).alias(f"{p}_chars")]
+    return rows.select("pair_id", "block", "piece", *out)
 
 
 def swapped_reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Preference pairs from plain conversations: (chosen, rejected) turn tables with pair_id = conv_id.
 
-    Chosen is the conversation up to its last assistant turn; rejected is the same with
-    that reply replaced by the last assistant reply of the next conversation id (empty
-    where that id has none). Conversations without an assistant turn are left out.
+    Chosen is the conversation as it is; rejected is the same with its last assistant
+    reply replaced by that of the next conversation id (empty where that id has none).
+    Turns after the last reply stand in both. A conversation without a reply is equal on
+    both sides. Rows with a null conv_id or turn take no part; repeated rows count once.
     """
     turns = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
     replies = turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("reply"))
-    upto = turns.join(replies.select("pair_id", "last"), "pair_id").where("turn <= last").select("pair_id", "turn", "role", "text", "last")
     other = replies.select((F.col("pair_id") - 1).alias("pair_id"), F.col("reply").alias("other"))
-    swap = replies.join(other, "pair_id", "left").select("pair_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("other", F.lit("")).alias("text"))
-    chosen = upto.select("pair_id", "turn", "role", "text")
-    before = upto.where("NOT (turn = last AND role <=> 'assistant')").select("pair_id", "turn", "role", "text")
-    return chosen, before.unionByName(swap)
+    swap = replies.select("pair_id", "last").join(other, "pair_id", "left")
+    is_last = (F.col("turn") == F.col("last")) & (F.col("role") == "assistant")
+    text = F.when(is_last, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text")
+    return turns, turns.join(swap, "pair_id", "left").select("pair_id", "turn", "role", text)
 
 
 def op10_chat(conversations: DataFrame) -> DataFrame:
-    return format_preferences(*swapped_reply_pairs(conversations))
+    """One row per pair (see ``examples``); the lists of masks and lengths are joined to texts."""
+    rows = examples(format_preferences(*swapped_reply_pairs(conversations)))
+    joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in rows.columns if c.endswith(("_mask", "_chars"))]
+    return rows.select("pair_id", "block", "piece", "prompt", "chosen", "rejected", *joined)

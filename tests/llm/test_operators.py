@@ -409,9 +409,12 @@ def test_preferences_share_their_prompt_once(spark):
         (2, "prompt", 0, "x", 0),
         (4, "rejected", 0, "y", 1),
     ]
-    row = by_id(chat.examples(out), "pair_id")[1]
+    rows = by_id(chat.examples(out), "pair_id")
+    row = rows[1]
     assert row.prompt == "<|user|>\nhi\n<|assistant|>\nhello\n<|user|>\nwhy\n"
-    assert (row.chosen, row.chosen_mask, row.rejected_mask) == ("<|assistant|>\nso\n", [1], [1])
+    assert (row.chosen, row.chosen_mask, row.rejected_mask, row.chosen_chars) == ("<|assistant|>\nso\n", [1], [1], [len("<|assistant|>\nso\n")])
+    assert (rows[2].prompt, rows[2].chosen, rows[2].rejected, rows[2].chosen_mask) == ("<|user|>\nx\n", "", "", [])
+    assert sorted(rows) == [1, 2, 3, 4]
 
 
 def test_later_equal_turns_are_no_prompt(spark):
@@ -422,8 +425,24 @@ def test_later_equal_turns_are_no_prompt(spark):
 
 
 def test_swapped_replies(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "later"), (2, 0, "user", "p"), (2, 1, "assistant", "a2"), (3, 0, "user", "alone"), (None, 0, "user", "x")]
-    out = chat.op10_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("mask", F.lit(1)))
-    got = sorted((r.pair_id, r.part, r.text) for r in out.collect())
-    assert got == [(1, "chosen", "a1"), (1, "prompt", "q"), (1, "rejected", "a2"), (2, "chosen", "a2"), (2, "prompt", "p"), (2, "rejected", "")]
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "later"), (2, 0, "user", "p"), (2, 1, "assistant", "a2"), (3, 0, "user", "alone"), (None, 0, "user", "x"), (1, 0, "user", "q")]
+    extra = {c: F.lit(c) for c in ("mask", "pair_id", "part", "piece", "block", "chosen", "prompt", "last", "other")}
+    out = chat.op10_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(extra))
+    u, r = (lambda x: f"<|user|>\n{x}\n"), (lambda x: f"<|assistant|>\n{x}\n")
+    got = sorted((x.pair_id, x.prompt, x.chosen, x.rejected, x.chosen_mask, x.rejected_mask) for x in out.collect())
+    assert got == [
+        (1, u("q"), r("a1") + u("later"), r("a2") + u("later"), "1,0", "1,0"),
+        (2, u("p"), r("a2"), r(""), "1", "1"),
+        (3, u("alone"), "", "", "", ""),
+    ]
     assert chat.op10_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_long_conversations_take_several_rows(spark):
+    rows = [(7, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(600)] + [(8, 0, "user", f"{i:04}") for i in range(300)]
+    out = chat.op10_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(x.pair_id, x.block, x.piece): x for x in out.collect()}
+    assert sorted(got) == [(7, 0, 0), (7, 1, 0), (7, 2, 0), (8, 0, 0), (8, 0, 1)]
+    whole = "".join(got[7, b, 0].prompt for b in range(3)) + got[7, 2, 0].chosen
+    assert whole == "".join(f"<|{r}|>\n{t}\n" for _, _, r, t in rows[:600])
+    assert got[8, 0, 0].prompt + got[8, 0, 1].prompt == "".join(f"<|user|>\n{i:04}\n" for i in range(300))
