@@ -7,27 +7,47 @@ import os
 import re
 import unicodedata
 
+import regex
+
 #: The places at which the byte-level pattern splits a text without unusual characters.
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 CONTROLS = re.compile("[\x1c-\x1f]")
 FAR = re.compile("[\U00010000-\U0010ffff]")
 
 
-class Unusual:
-    r"""Finds characters that Python's classes may sort otherwise than \p{L}, \p{N} and white space.
+#: The same places for any text, as slow as a pattern with Unicode classes is.
+ANY_PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+
+
+class PreTokenizer:
+    r"""Splits a text where the byte-level pattern does, or gives None if only the library can tell.
 
-    These are numbers that are no decimal digits, four control characters, and all
-    beyond the basic plane.
+    Python's own classes differ from \p{L}, \p{N} and white space in numbers that are no
+    decimal digits, in four control characters, and may differ beyond the basic plane;
+    texts with these take the slower pattern. None is for added tokens, and for
+    characters that Python's Unicode version does not know yet, which the library's may.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, path: str) -> None:
+        self.tokenizer = load(path)
+        self.special = added_strings(self.tokenizer)
         odd = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Nl", "No")]
         self.near = re.compile("[\x1c-\x1f" + "".join(odd) + "]")
 
-    def search(self, text: str) -> bool:
+    def __call__(self, text: str) -> list[str] | None:
+        if self.special is not None and self.special.search(text):
+            return None
         if text.isascii():
-            return CONTROLS.search(text) is not None
-        return self.near.search(text) is not None or FAR.search(text) is not None
+            return (ANY_PRE_TOKEN if CONTROLS.search(text) else PRE_TOKEN).findall(text)
+        if self.near.search(text) or FAR.search(text):
+            if any(unicodedata.category(c) == "Cn" for c in set(text)):
+                return None
+            return ANY_PRE_TOKEN.findall(text)
+        return PRE_TOKEN.findall(text)
+
+    def whole(self, text: str) -> int:
+        """Tokens of a text as the library counts them."""
+        return len(self.tokenizer.encode(text, add_special_tokens=False))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

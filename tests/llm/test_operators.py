@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import ann, chat, mixing, packing, quality_classifier, quality_rules, simhash, suffix_array, suffix_dedup, token_counts, toxicity
 from seriesloom.llm.graph import components
-from seriesloom.llm.tokens import load, vocabulary_path
+from seriesloom.llm.tokens import PreTokenizer, load, vocabulary_path
 
 
 def by_id(df, key="doc_id"):
@@ -335,14 +336,27 @@ def test_token_counts(documents, clashing, hard_texts, ids, empty):
     assert token_counts.op8_token_counts(empty).count() == 0
 
 
-def test_random_texts_tokenize_as_the_library_does():
-    rng, letters = random.Random(3), "ab'sé1² \n\t _-ñß½Ⅷ\x1c\xa0　日本'll 'Re\U0001f600"
+@pytest.mark.parametrize("frequent", [0, 60, token_counts.FREQUENT])
+def test_random_texts_tokenize_as_the_library_does(spark, frequent):
+    rng, letters = random.Random(3), "ab'sé1² \n\t _-ñß½Ⅷ\x1c\xa0　日本'll 'Re\U0001f600\U0001d7d8\U000e01f5"
     tokenizer = load(vocabulary_path())
-    encoder, counts = packing.Encoder(vocabulary_path()), token_counts.PieceCounts(vocabulary_path())
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) + ("<|endoftext|>" if k % 7 == 0 else "") for k in range(1500)]
     want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
-    assert counts.totals(texts) == list(map(len, want))
+    if not frequent:
+        encoder = packing.Encoder(vocabulary_path())
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.id: r.n_tokens for r in token_counts.token_counts(docs, frequent=frequent).collect()}
+    assert [got[i] for i in range(len(texts))] == list(map(len, want))
+
+
+def test_pre_tokens_of_all_kinds_of_characters():
+    split = PreTokenizer(vocabulary_path())
+    known = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000, 11)]) if unicodedata.category(c) != "Cn"]
+    for c in known:
+        text = f"a{c}b 1{c}2 {c}! {c}"
+        assert split(text) == [text[x:y] for _, (x, y) in split.tokenizer.pre_tokenizer.pre_tokenize_str(text)], hex(ord(c))
+    assert split("x \U0001f600 y") == ["x", " \U0001f600", " y"] and split("a<|endoftext|>") is None
 
 
 # 9
