@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesloom.operators.boosting import boosted_series
 from seriesloom.panel import names, trailing
 
 
@@ -111,74 +112,64 @@ def _least_squares(keys: Sequence[str], columns: Sequence[str]):
     return solve
 
 
+#: Rows of many series that are boosted together; a longer series goes alone.
+TOGETHER = 1 << 14
+
+
 def boosted_baseline(
     df: DataFrame, group_cols: str | Sequence[str], date_col: str, signal_cols: Sequence[str], feature_cols: Sequence[str], trees: int = 1000, rate: float = 0.05, leaves: int = 31
 ) -> DataFrame:
     """``baseline_<s>_lgbm``: boosted trees per series and cutoff on its train rows (missing y as 0), at least 0; train rows keep the actual.
 
-    Series with fewer than two train rows get NULL on test rows.
+    Series with fewer than two train rows get NULL on test rows. A missing feature counts
+    as the smallest value. Series are dealt to tasks by their keys; a task grows the
+    trees of all its series together, about TOGETHER rows at a time.
     """
     keys, out, columns = names(group_cols), df, list(feature_cols)
     keys += ["cutoff"] if "cutoff" in df.columns and "cutoff" not in keys else []
     for s in names(signal_cols):
         name = f"baseline_{s}_lgbm"
         schema = T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())])
-        out = out.groupBy(*keys).applyInPandas(_boosted(s, columns, name, trees, rate, leaves), schema)
+        out = out.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_boosted(keys, s, columns, name, trees, rate, leaves), schema)
     return out
 
 
-def _boosted(signal: str, columns: Sequence[str], name: str, trees: int, rate: float, leaves: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pd.to_numeric(pdf[signal]).astype(float)
-        train = (pdf["sample"] == "train").to_numpy()
-        fitted = np.full(len(pdf), np.nan)
-        if train.sum() > 1 and not train.all():
-            x = np.nan_to_num(pdf[list(columns)].astype(float).to_numpy(), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
-            fitted[~train] = np.maximum(boosted_trees(x[train], y.fillna(0.0).to_numpy()[train], x[~train], trees, rate, leaves), 0.0)
-        fitted[train] = y.to_numpy()[train]
-        return pdf.assign(**{name: pd.Series(fitted, pdf.index).astype(object).where(~np.isnan(fitted), None)})
+def _whole_series(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows sorted by series, and the number of each row's series, in lots of whole series."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= TOGETHER:
+            rows = pd.concat(held, ignore_index=True)
+            number = rows.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+            open_at = int(np.searchsorted(number, number[-1]))  # the last series may go on
+            if open_at:
+                yield rows[:open_at], number[:open_at]
+            held = [rows[open_at:]]
+    rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+    if len(rows):
+        yield rows, rows.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+
+
+def _boosted(keys: Sequence[str], signal: str, columns: Sequence[str], name: str, trees: int, rate: float, leaves: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, number in _whole_series(batches, keys):
+            y = pd.to_numeric(rows[signal]).astype(float).to_numpy()
+            train = (rows["sample"] == "train").to_numpy()
+            fits = np.bincount(number[train], minlength=number[-1] + 1) > 1
+            place = np.cumsum(fits) - 1
+            own, asked = train & fits[number], ~train & fits[number]
+            x = np.nan_to_num(rows[list(columns)].astype(float).to_numpy(), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            value = np.where(train, y, np.nan)
+            if asked.any():
+                value[asked] = np.maximum(
+                    boosted_series(x[own], np.nan_to_num(y[own]), place[number[own]], x[asked], place[number[asked]], int(fits.sum()), trees, rate, leaves), 0.0
+                )
+            yield rows.assign(**{name: pd.Series(value, rows.index).astype(object).where(~np.isnan(value), None)})
 
     return run
 
 
-def boosted_trees(x: np.ndarray, y: np.ndarray, ask: np.ndarray, trees: int, rate: float, leaves: int = 31, least: int = 20) -> np.ndarray:
-    """Least-squares boosting from the mean; each tree grows its best leaf first, with ``least`` rows a leaf at least. Values for ``ask``."""
-    start = y.mean()
-    rest, out = y - start, np.full(len(ask), start)
-    columns = x.T
-    order = np.argsort(columns, axis=1, kind="stable")
-
-    def best(own: np.ndarray) -> tuple:
-        m = own.shape[1]
-        if m < 2 * least:
-            return 0.0, 0, 0.0
-        sums = np.cumsum(rest[own], axis=1)
-        total, left = sums[0, -1], np.arange(least, m - least + 1)
-        part, at = sums[:, left - 1], np.take_along_axis(columns, own, 1)
-        gain = part**2 / left + (total - part) ** 2 / (m - left) - total**2 / m
-        gain[at[:, left - 1] >= at[:, left]] = 0.0
-        f, i = divmod(int(gain.argmax()), len(left))
-        return float(gain[f, i]), f, at[f, left[i] - 1]
-
-    for _ in range(trees):
-        grown = [(best(order), order, np.arange(len(ask)))]
-        while len(grown) < leaves:
-            j = max(range(len(grown)), key=lambda j: grown[j][0][0])
-            (gain, f, edge), own, asked = grown[j]
-            if gain <= 1e-12:
-                break
-            low, ask_low = (columns[f] <= edge)[own], ask[asked, f] <= edge
-            one, other = (own[side].reshape(len(own), -1) for side in (low, ~low))
-            grown[j : j + 1] = [(best(one), one, asked[ask_low]), (best(other), other, asked[~ask_low])]
-        if len(grown) == 1:
-            break  # nothing left to split, in this tree or any later one
-        steps = [rate * rest[own[0]].mean() for _, own, _ in grown]
-        for (_, own, asked), step in zip(grown, steps):
-            rest[own[0]] -= step
-            out[asked] += step
-    return out
-
-
 def run_baselines(
     df: DataFrame, group_cols: str | Sequence[str], date_col: str, signal_cols: Sequence[str], baseline_types: Sequence[str] = ("MA", "CROSTON"),
     window_sizes: int | Sequence[int] = 13, feature_cols: Sequence[str] | None = None, create_features: bool = False,
