@@ -243,7 +243,11 @@ def _hot(texts: DataFrame, length: int) -> DataFrame:
     """
     windows = materialize(texts.mapInArrow(_windows(length), "h long, context binary, first long, window binary"))
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return windows.join(twice, "window", "left_semi").select("h", "context", "first", F.col("first").alias("last"))
+    # a context has no more windows than an anchor reaches, about ``length``; neighbours become one run
+    starts = windows.join(twice, "window", "left_semi").groupBy("h", "context").agg(F.array_sort(F.collect_list("first")).alias("at"))
+    firsts, lasts = F.array_except("at", F.transform("at", lambda x: x + 1)), F.array_except("at", F.transform("at", lambda x: x - 1))
+    runs = starts.select("h", "context", F.explode(F.arrays_zip(firsts.alias("first"), lasts.alias("last"))).alias("run"))
+    return runs.select("h", "context", "run.first", "run.last")
 
 
 def _strip(length: int, least_words: int):
