@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from seriesloom.plans.pipeline import Options, run_pipeline
-from seriesloom.sources.tables import generate_sample, read_table, write_results
+from seriesloom.sources.tables import generate_sample, read_table, write_cutoff_statistics, write_metrics, write_results
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -21,7 +21,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--n-cutoffs", type=int, default=1)
     p.add_argument("--model", default="LGBM", choices=["LGBM", "RF", "GBM", "ADA", "LR"])
     p.add_argument("--tune", action="store_true")
-    p.add_argument("--output", help="folder for the results and metrics")
+    p.add_argument("--output", help="folder for the results, the metrics and, of several cutoffs, their rows")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     df = read_table(spark, a.input) if a.input else generate_sample(spark, a.freq)
@@ -29,7 +29,8 @@ def main(argv: list[str] | None = None) -> None:
     out = run_pipeline(df, a.date, a.keys, a.signals, options=options)
     if a.output:
         write_results(out.frame, f"{a.output}/results")
-        write_results(out.metrics, f"{a.output}/metrics")
+        write_metrics(out.metrics, f"{a.output}/metrics")
+        write_cutoff_statistics(out.cutoff_stats, f"{a.output}/cutoffs")
     for r in out.metrics.orderBy("metric", "model").collect():
         print(f"{r.metric:15} {r.model:30} {r.value if r.value is None else round(r.value, 4)}")
 

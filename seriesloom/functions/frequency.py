@@ -113,6 +113,15 @@ def gap_counts(df: DataFrame, date_col: str) -> DataFrame:
     return gaps.where("gap IS NOT NULL").groupBy("gap").agg(F.count("*").alias("n"), F.min("d").alias("first_seen"))
 
 
+def aligned(alias: str, df: DataFrame, date_col: str) -> str:
+    """A week without a day, as the week that most of the data's dates end; any other frequency as it is."""
+    if alias.upper() != "W":
+        return alias
+    days = df.select(F.to_date(date_col).alias("d")).where("d IS NOT NULL").groupBy(F.weekday("d").alias("p")).count()
+    top = days.orderBy(F.desc("count"), "p").first()  # seven rows at most
+    return alias if top is None else f"W-{DAYS[top.p]}"
+
+
 def detect_frequency(df: DataFrame, date_col: str) -> str:
     """Alias of the modal gap between dates; ties go to the gap seen first. Runs two small jobs over distinct dates."""
     top = gap_counts(df, date_col).orderBy(F.desc("n"), "first_seen").first()
@@ -125,6 +134,7 @@ def detect_frequency(df: DataFrame, date_col: str) -> str:
         rows = dates.groupBy(part.alias("p")).count().orderBy(F.desc("count"), "p").collect()  # 31 rows at most
         return rows[0].p, rows[0]["count"] / sum(r["count"] for r in rows)
 
+    # The gaps and shares below are those that results must agree with.
     if gap <= 1:
         return "D"
     if gap <= 3:

@@ -33,36 +33,52 @@ def ma_baseline(df: DataFrame, group_cols: str | Sequence[str], date_col: str, s
 def croston_baseline(df: DataFrame, group_cols: str | Sequence[str], date_col: str, signal_cols: Sequence[str], alpha: float = 0.1) -> DataFrame:
     """``baseline_<s>_croston``: level over interval, smoothed at each positive value; test rows get the last one, 0 without train rows.
 
-    The recursion is a fold over each series' sorted train values; the forecasts come back
-    to their rows by position.
+    The recursion has no form that SQL could window, and a fold that gathers its results
+    copies them at each step; so the series of a task step through their train rows
+    together, in time that grows with the rows.
     """
-    keys = names(group_cols)
-    out = df
+    keys, out = names(group_cols), df
     for s in names(signal_cols):
         name = f"baseline_{s}_croston"
-        place = W.partitionBy(*keys, "sample").orderBy(date_col)
-        rows = out.withColumn("_pos", F.row_number().over(place))
-        y = F.coalesce(F.col(s).cast("double"), F.lit(0.0))
-        sorted_y = F.transform(F.array_sort(F.collect_list(F.struct("_pos", y.alias("y")))), lambda x: x.y)
-        folded = rows.where("sample = 'train'").groupBy(*keys).agg(sorted_y.alias("_y")).select(*keys, _croston(F.col("_y"), alpha).alias("_f"))
-        train = F.col("sample") == "train"
-        value = F.when(train, F.element_at("_f", F.col("_pos"))).otherwise(F.element_at("_f", -1))
-        out = rows.join(folded, keys, "left").withColumn(name, F.coalesce(value, F.lit(0.0))).drop("_pos", "_f")
+        schema = T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())])
+        rows = out.repartition(*keys).sortWithinPartitions(*keys, date_col)
+        out = rows.mapInPandas(_croston(keys, s, name, alpha), schema)
     return out
 
 
-def _croston(y, alpha: float):
-    first = F.when(y[0] > 0, y[0]).otherwise(0.0)
-    start = F.struct(first.alias("a"), F.lit(1.0).alias("q"), F.lit(1.0).alias("p"), F.array(F.lit(0.0)).alias("f"))
+def _croston(keys: Sequence[str], signal: str, name: str, alpha: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, number in _whole_series(batches, keys):
+            train = np.flatnonzero((rows["sample"] == "train").to_numpy())
+            y = np.nan_to_num(pd.to_numeric(rows[signal]).astype(float).to_numpy())
+            value, final = np.zeros(len(rows)), np.zeros(number[-1] + 1)
+            value[train], own = croston(y[train], number[train], alpha)
+            final[own[0]] = own[1]
+            value = np.where((rows["sample"] == "train").to_numpy(), value, final[number])
+            yield rows.assign(**{name: value})
+
+    return run
 
-    def step(s, v):
-        hit = v > 0
-        a = F.when(hit, s.a + alpha * (v - s.a)).otherwise(s.a)
-        q = F.when(hit, s.q + alpha * (s.p - s.q)).otherwise(s.q)
-        p = F.when(hit, F.lit(1.0)).otherwise(s.p + 1.0)
-        return F.struct(a.alias("a"), q.alias("q"), p.alias("p"), F.concat(s.f, F.array(a / F.greatest(q, F.lit(1e-6)))).alias("f"))
 
-    return F.aggregate(F.slice(y, F.lit(2), F.greatest(F.size(y) - 1, F.lit(0))), start, step, lambda s: s.f)
+def croston(y: np.ndarray, series: np.ndarray, alpha: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Forecast after each value, and (series, last forecast); values of a series stand together, in order."""
+    out = np.zeros(len(y))
+    if not len(y):
+        return out, (series, out)
+    first = np.flatnonzero(np.r_[True, series[1:] != series[:-1]])
+    sizes = np.diff(np.r_[first, len(y)])
+    level, between, waited = np.where(y[first] > 0, y[first], 0.0), np.ones(len(first)), np.ones(len(first))
+    by_size = np.argsort(-sizes, kind="stable")
+    first, level, between, waited, lasting = first[by_size], level[by_size], between[by_size], waited[by_size], sizes[by_size]
+    for t in range(1, int(sizes.max())):
+        live = int(np.searchsorted(-lasting, -t, "left"))  # series with more than t values come first
+        now = y[first[:live] + t]
+        hit = now > 0
+        level[:live] += np.where(hit, alpha * (now - level[:live]), 0.0)
+        between[:live] += np.where(hit, alpha * (waited[:live] - between[:live]), 0.0)
+        waited[:live] = np.where(hit, 1.0, waited[:live] + 1.0)
+        out[first[:live] + t] = level[:live] / np.maximum(between[:live], 1e-6)
+    return out, (series[first], out[first + lasting - 1])
 
 
 def lr_baseline(df: DataFrame, group_cols: str | Sequence[str], date_col: str, signal_cols: Sequence[str], feature_cols: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesloom.functions.frequency import frequency_params
+from seriesloom.functions.ranks import running_before
 from seriesloom.operators import statistics
 from seriesloom.panel import double_columns, names, ordered, string_columns, trailing, upto
 
@@ -20,12 +21,13 @@ DERIVED = ("sin_", "cos_", "trend_", "seasonal_", "weeks_until")
 def encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature_<c>``: 0-based place of the value among the sorted distinct values, NULL last.
 
-    The distinct values are numbered by a window over them alone and joined back.
+    The distinct values are numbered by ranges and joined back.
     """
     out = df
     for c in names(columns):
         values = df.select(F.col(c).alias("_v")).distinct()
-        places = values.withColumn(f"feature_{c}", (F.row_number().over(W.orderBy(F.col("_v").asc_nulls_last())) - 1).cast("int"))
+        places = running_before(values, [F.col("_v").asc_nulls_last()], F.lit(1), "_place")
+        places = places.select("_v", F.col("_place").cast("int").alias(f"feature_{c}"))
         out = out.join(places, F.col(c).eqNullSafe(F.col("_v")), "left").drop("_v")
     return out
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.checkpoints import materialize
@@ -23,8 +23,11 @@ from seriesloom.operators.guard import guardrail
 from seriesloom.panel import clip0, finite_or_zero, names
 
 MODELS = ("LGBM", "RF", "GBM", "ADA", "LR")
+# The steps in ``heuristic_params`` are those that results must agree with.
 #: Stands for a missing feature in trees: below every value, so that a split can send it aside.
 ABSENT = -1e9
+#: Rounds of AdaBoost between two checkpoints of the row weights.
+CUT = 4
 
 
 def heuristic_params(model: str, rows: int, features: int) -> dict[str, Any]:
@@ -60,14 +63,14 @@ def heuristic_params(model: str, rows: int, features: int) -> dict[str, Any]:
 
 
 def grid(model: str) -> dict[str, list]:
-    """A search grid in MLlib's names."""
-    trees = {"maxIter": [20, 50, 100], "stepSize": [0.02, 0.05, 0.1], "maxDepth": [3, 5, 7]}
+    """A search grid in MLlib's names; shares of rows and columns a tree sees, and rows a leaf needs, stand for what MLlib lacks."""
+    trees = {"maxIter": [20, 50, 100], "stepSize": [0.02, 0.05, 0.1], "maxDepth": [3, 5, 7], "subsamplingRate": [0.7, 0.85, 1.0]}
     return {
-        "LGBM": trees,
-        "GBM": trees,
-        "RF": {"numTrees": [20, 50, 100], "maxDepth": [5, 10, 15]},
+        "LGBM": trees | {"featureSubsetStrategy": ["0.7", "0.85", "1.0"], "minInstancesPerNode": [1, 5, 20]},
+        "GBM": trees | {"minInstancesPerNode": [1, 5, 20]},
+        "RF": {"numTrees": [20, 50, 100], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["onethird", "sqrt", "1.0"]},
         "ADA": {"maxIter": [10, 20, 50], "stepSize": [0.3, 0.5, 1.0]},
-        "LR": {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]},
+        "LR": {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},
     }[model]
 
 
@@ -96,17 +99,21 @@ class Boosted:
 
 
 def fit_adaboost(train: DataFrame, label: str, params: dict, weight: str | None, seed: int) -> Boosted:
-    """Each round fits a tree on the present row weights and turns them towards the rows it missed."""
+    """Each round fits a tree on the present row weights and turns them towards the rows it missed.
+
+    Weights are written every CUT rounds, so that a round does not apply all trees before it again.
+    """
     rounds, rate = params.get("maxIter", 50), params.get("stepSize", 1.0)
     rows = train.withColumn("_w", F.col(weight) if weight else F.lit(1.0))
     trees, weights = [], []
     for i in range(rounds):
         tree = DecisionTreeRegressor(featuresCol="features", labelCol=label, weightCol="_w", maxDepth=params.get("maxDepth", 3), seed=seed + i).fit(rows)
         scored = tree.transform(rows).withColumn("_e", F.abs(F.col("prediction") - F.col(label)))
-        worst = scored.agg(F.max("_e")).first()[0] or 0.0
+        missed = scored.agg(F.max("_e").alias("worst"), F.sum(F.col("_w") * F.col("_e")).alias("e"), F.sum("_w").alias("w")).first()
+        worst = missed.worst or 0.0
         if worst <= 0:
             return Boosted([*trees, tree], [*weights, 1.0])
-        loss = scored.agg((F.sum(F.col("_w") * F.col("_e") / worst) / F.sum("_w")).alias("l")).first().l
+        loss = missed.e / worst / missed.w
         if loss >= 0.5 and trees:
             break
         beta = max(loss, 1e-9) / max(1 - loss, 1e-9)
@@ -114,6 +121,8 @@ def fit_adaboost(train: DataFrame, label: str, params: dict, weight: str | None,
         weights.append(rate * math.log(1 / beta) if beta < 1 else 1e-3)
         turned = F.col("_w") * F.pow(F.lit(beta), rate * (1 - F.col("_e") / worst))
         rows = scored.withColumn("_w", turned).select(*rows.columns)
+        if i % CUT == CUT - 1:
+            rows = materialize(rows)
     return Boosted(trees, weights)
 
 
@@ -129,14 +138,14 @@ def estimator(model: str, label: str, params: dict, weight: str | None = None, s
 
 
 def imputed(df: DataFrame, features: Sequence[str], model: str) -> tuple[DataFrame, list[str]]:
-    """Missing features: far below all values for trees; for LR the median of the train rows plus a flag, without features that never vary."""
+    """Missing features: far below all values for trees; for LR the median of the train rows (to a ten-thousandth of their ranks) plus a flag, without features that never vary."""
     if model != "LR":
         return df.withColumns({f"_x_{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(ABSENT)), F.lit(ABSENT)) for c in features}), [f"_x_{c}" for c in features]
     train = df.where(F.col("sample") == "train")
     aggs = []
     for c in features:
         x = F.nanvl(F.col(c).cast("double"), F.lit(None))
-        aggs += [F.percentile(x, 0.5).alias(f"mid_{c}"), F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"), F.count_if(x.isNull()).alias(f"na_{c}")]
+        aggs += [F.percentile_approx(x, 0.5, 10_000).alias(f"mid_{c}"), F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"), F.count_if(x.isNull()).alias(f"na_{c}")]
     row = train.agg(*aggs).first()
     varied = [c for c in features if row[f"min_{c}"] != row[f"max_{c}"]] or list(features[:1])
     out = {f"_x_{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(row[f"mid_{c}"] or 0.0))) for c in varied}
@@ -154,9 +163,9 @@ class Fitted:
 
 def fit_predict(
     df: DataFrame, features: Sequence[str], target: str, model: str = "LGBM", params: dict | None = None, use_weights: bool = False, seed: int = 42, tune: bool = False, search: str = "halving",
-    date_col: str | None = None, most: int | None = None,
+    date_col: str | None = None, most: int | None = None, scoring: str = "neg_mean_squared_log_error", param_distributions: dict[str, Sequence] | None = None,
 ) -> Fitted:
-    """Fits on train rows (missing target as 0) and predicts all rows, at least 0. ``date_col`` and ``most`` are for tuning."""
+    """Fits on train rows (missing target as 0) and predicts all rows, at least 0. What follows ``search`` is for tuning."""
     rows, inputs = imputed(df, features, model)
     rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).withColumn("_y", F.coalesce(F.col(target).cast("double"), F.lit(0.0)))
     weight = "_weight" if use_weights else None
@@ -166,7 +175,7 @@ def fit_predict(
     if params is None:
         params = heuristic_params(model, train.count(), len(features))
     if tune:
-        params = tune_parameters(train, model, weight, search=search, most=most, seed=seed, date_col=date_col)
+        params = tune_parameters(train, model, weight, search=search, most=most, seed=seed, date_col=date_col, scoring=scoring, param_distributions=param_distributions)
     if model == "ADA":
         fitted = fit_adaboost(train.select("features", "_y", *([weight] if weight else [])), "_y", params, weight, seed)
     else:
@@ -179,8 +188,31 @@ def fit_predict(
     return Fitted(out, fitted, params, sorted(zip([c.removeprefix("_x_") for c in inputs], scores.tolist()), key=lambda x: -x[1]))
 
 
-def tune_parameters(train: DataFrame, model: str, weight: str | None = None, candidates: Sequence[dict] | None = None, search: str = "halving", folds: int = 4, most: int | None = None, seed: int = 42, date_col: str | None = None) -> dict:
-    """The best of the candidate parameters by root mean squared error over expanding folds.
+def score_column(scoring: str, actual: Column, predicted: Column) -> Column:
+    """An aggregate that is larger for better predictions, under its usual name; predictions are at least 0 where logarithms are taken."""
+    e = predicted - actual
+    if scoring == "neg_mean_squared_log_error":
+        return -F.avg(F.pow(F.log1p(F.greatest(predicted, F.lit(0.0))) - F.log1p(F.greatest(actual, F.lit(0.0))), F.lit(2.0)))
+    if scoring == "neg_mean_squared_error":
+        return -F.avg(e * e)
+    if scoring == "neg_root_mean_squared_error":
+        return -F.sqrt(F.avg(e * e))
+    if scoring == "neg_mean_absolute_error":
+        return -F.avg(F.abs(e))
+    if scoring == "neg_median_absolute_error":
+        return -F.percentile_approx(F.abs(e), 0.5, 10_000)
+    if scoring == "r2":
+        return 1 - F.try_divide(F.avg(e * e), F.var_pop(actual))
+    raise ValueError(f"unknown scoring: {scoring}")
+
+
+def tune_parameters(
+    train: DataFrame, model: str, weight: str | None = None, candidates: Sequence[dict] | None = None, search: str = "halving", folds: int = 4, most: int | None = None, seed: int = 42,
+    date_col: str | None = None, scoring: str = "neg_root_mean_squared_error", param_distributions: dict[str, Sequence] | None = None,
+) -> dict:
+    """The best of the candidate parameters by ``scoring`` over expanding folds.
+
+    Candidates are those given, or all combinations of ``param_distributions``, or of the model's own ``grid``.
 
     Folds follow the date where there is one, else a fixed hash: fold k trains on the
     first k parts and validates on part k+1. ``grid`` tries all, ``random`` draws
@@ -188,7 +220,7 @@ def tune_parameters(train: DataFrame, model: str, weight: str | None = None, can
     2 rows a fold) and keeps the better third of them as the training share grows.
     """
     if candidates is None:
-        table = grid(model)
+        table = param_distributions or grid(model)
         candidates = [dict(zip(table, v)) for v in itertools.product(*table.values())]
     order = np.random.default_rng(seed).permutation(len(candidates))
     most = most or (30 if search == "random" else 3000 // (2 * folds))
@@ -201,7 +233,8 @@ def tune_parameters(train: DataFrame, model: str, weight: str | None = None, can
     def error(p: dict, k: int) -> float:
         fit_on, check = parts.where(F.col("_part") < k), parts.where(F.col("_part") == k)
         fitted = fit_adaboost(fit_on.select("features", "_y"), "_y", p, None, seed) if model == "ADA" else estimator(model, "_y", p, weight, seed).fit(fit_on)
-        return fitted.transform(check).agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("_y"), F.lit(2.0))))).first()[0] or float("inf")
+        score = fitted.transform(check).agg(score_column(scoring, F.col("_y"), F.col("prediction"))).first()[0]
+        return float("inf") if score is None or math.isnan(score) else -score
 
     try:
         if search != "halving":
@@ -239,12 +272,13 @@ def run_backtesting(
     df: DataFrame, group_cols: str | Sequence[str], features: Sequence[str], target: str, training_group: str | None = None, model: str = "LGBM", params: dict | None = None,
     use_weights: bool = False, use_guardrail: bool = False, baseline_col: str | None = None, guardrail_limit: float = 2.5, best_features: bool | Sequence[str] = False,
     n_best_features: int = 15, tune_hyperparameters: bool = False, search_method: str = "halving", parallel: int = 2, seed: int = 42,
-    date_col: str | None = None, n_candidates: int | None = None,
+    date_col: str | None = None, n_candidates: int | None = None, scoring: str = "neg_mean_squared_log_error", param_distributions: dict[str, Sequence] | None = None,
 ) -> Backtest:
     """One model per cutoff and training group, fitted in parallel driver threads over one frame, then the guardrail.
 
     Tuning folds follow ``date_col``, by default ``date`` where the frame has it;
-    ``n_candidates`` is the ``most`` of ``tune_parameters``.
+    ``n_candidates`` is the ``most`` of ``tune_parameters``, ``scoring`` and
+    ``param_distributions`` are its own.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model: {model}")
@@ -262,7 +296,7 @@ def run_backtesting(
             chosen = best_by_mutual_information(rows.where(F.col("sample") == "train"), group_cols, features, target, n_best_features)
         elif best_features:
             chosen = list(best_features)
-        return fit_predict(rows, chosen, target, model, params, use_weights, seed, tune_hyperparameters, search_method, date_col, n_candidates)
+        return fit_predict(rows, chosen, target, model, params, use_weights, seed, tune_hyperparameters, search_method, date_col, n_candidates, scoring, param_distributions)
 
     with ThreadPoolExecutor(max(1, parallel)) as pool:
         fitted = dict(zip(jobs, pool.map(one, jobs)))

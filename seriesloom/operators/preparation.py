@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seriesloom.functions.frequency import Frequency, detect_frequency, frequency_params
+from seriesloom.functions.frequency import Frequency, aligned, detect_frequency, frequency_params
 from seriesloom.panel import clip0, double_columns, names, string_columns, trailing, upto
 
 
@@ -104,7 +104,7 @@ def run_data_preparation(
 ) -> DataFrame:
     """Completion, smoothing, cutoffs, replicas, horizon rows and the horizon filter; frequency and cutoffs alone run jobs."""
     keys, signals = names(group_cols), names(signal_cols)
-    freq = freq or detect_frequency(df, date_col)
+    freq = aligned(freq, df, date_col) if freq else detect_frequency(df, date_col)
     known = frequency_params(freq)
     horizon, window = horizon or known["horizon"], dp_window_size or known["dp_window_size"]
     out = df.withColumns({c: F.col(c).cast("double") for c in signals})

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seriesloom.checkpoints import materialize
+from seriesloom.functions.ranks import running_before
 from seriesloom.panel import finite_or_zero, names, nonzero_or_null, ordered, upto
 
 #: Periods that ``cov`` can meet.
@@ -154,11 +158,38 @@ def bucket(stats: DataFrame, value: str, q: int, name: str, by: Sequence[str] =
 
     ``by`` computes the edges per group (a cutoff, so that replicas do not weigh in).
     """
-    points = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    edges = stats.groupBy(*by).agg(F.array_distinct(F.percentile(value, points)).alias("_edges"))
-    rows = stats.join(edges, list(by), "left") if by else stats.crossJoin(F.broadcast(edges))  # one row of edges
+    edges = quantile_edges(stats, value, q, by)
+    rows = stats.join(F.broadcast(edges), F.lit(True) if not by else reduce(and_, [stats[c].eqNullSafe(edges[f"_by_{c}"]) for c in by]), "left")  # a row per cutoff
+    rows = rows.drop(*[f"_by_{c}" for c in by])
     place = F.greatest(F.lit(1), F.size(F.filter("_edges", lambda e: e < F.col(value))))
-    return rows.withColumn(name, F.when(F.col(value).isNull() | (F.size("_edges") < 2), 0).otherwise(place).cast("int")).drop("_edges")
+    return rows.withColumn(name, F.when(F.col(value).isNull() | (F.coalesce(F.size("_edges"), F.lit(0)) < 2), 0).otherwise(place).cast("int")).drop("_edges")
+
+
+def quantile_edges(stats: DataFrame, value: str, q: int, by: Sequence[str] = ()) -> DataFrame:
+    """(_by_<c>, _edges): the distinct q-quantiles of a statistic, interpolated between neighbours, per group.
+
+    Values are counted, put in order by ranges, and only those at a wanted rank are
+    gathered, so that no task holds a group's values.
+    """
+    own = [F.col(c).alias(f"_by_{c}") for c in by]
+    keys = [f"_by_{c}" for c in by]
+    counts = stats.where(F.col(value).isNotNull()).groupBy(*own, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col("_v").asc()]
+    counts = materialize(running_before(counts, order, F.col("_c"), "_before"))
+    # totals per group: as many rows as cutoffs; ranks count from the group's first value
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_before").alias("_first"))
+    totals = totals.select(*[F.col(k).alias(f"{k}_") for k in keys], "_n", "_first")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.lit(True))
+    placed = counts.join(F.broadcast(totals), same).withColumn("_at", F.col("_before") - F.col("_first"))
+    spots = F.array(*[F.lit(i / q) for i in range(q + 1)])
+    rank = lambda i: (F.col("_n") - 1) * i
+    inside = lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_c"))
+    low = F.transform(F.filter(spots, lambda i: inside(F.floor(rank(i)))), lambda i: F.struct(i.alias("i"), (1 - (rank(i) - F.floor(rank(i)))).alias("w")))
+    high = F.transform(F.filter(spots, lambda i: inside(F.ceil(rank(i))) & (F.ceil(rank(i)) > F.floor(rank(i)))), lambda i: F.struct(i.alias("i"), (rank(i) - F.floor(rank(i))).alias("w")))
+    met = placed.select(*keys, "_v", F.explode(F.concat(low, high)).alias("_s"))
+    points = met.groupBy(*keys, "_s.i").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.max_by(F.col("_s.w"), F.col("_v")).alias("w"))
+    point = F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("v"))
+    return points.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("_p")).select(*keys, F.array_distinct(F.col("_p.v")).alias("_edges"))
 
 
 def quantile_clusters(df: DataFrame, group_cols: str | Sequence[str], value: str, n_clusters: int = 10) -> DataFrame:

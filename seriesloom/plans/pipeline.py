@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.checkpoints import materialize
-from seriesloom.functions.frequency import detect_frequency, frequency_params
+from seriesloom.functions.frequency import aligned, detect_frequency, frequency_params
 from seriesloom.operators import baselines, features, guard, metrics, models, preparation
 from seriesloom.operators.columns import feature_columns
 from seriesloom.panel import PanelSpec, ingest, names
@@ -41,6 +41,9 @@ class Options:
     use_weights: bool = False
     tune_hyperparameters: bool = False
     search_method: str = "halving"
+    scoring: str = "neg_mean_squared_log_error"
+    n_iter: int | None = None
+    param_distributions: dict | None = None
     best_features: bool | Sequence[str] = False
     use_feature_selection: bool = False
     n_best_features: int = 15
@@ -55,6 +58,8 @@ class Options:
     eval_group_col: str | None = None
     eval_group_filter: Sequence | None = None
     use_parallel: bool = True
+    num_cpus: int | None = None
+    log_level: str | None = None
     seed: int = 42
 
 
@@ -77,11 +82,13 @@ class Result:
 def run_pipeline(df: DataFrame, date_col: str, group_cols: str | Sequence[str], signal_cols: Sequence[str], target: str | None = None, options: Options | None = None) -> Result:
     """Preparation, features, baselines, models and metrics; every window runs per series and cutoff."""
     o = options or Options()
+    if o.log_level:
+        df.sparkSession.sparkContext.setLogLevel(o.log_level)
     keys, signals = names(group_cols), names(signal_cols)
     spec = PanelSpec(tuple(keys), date_col, tuple(signals), target or signals[0])
     series = [*keys, "cutoff"]
     df = ingest(df, spec)
-    freq = o.freq or detect_frequency(df, date_col)
+    freq = aligned(o.freq, df, date_col) if o.freq else detect_frequency(df, date_col)
     known = frequency_params(freq)
     frame = preparation.run_data_preparation(
         df, date_col, keys, spec.signals, spec.target, o.horizon or known["horizon"], freq, o.n_cutoffs, o.complete_dataframe, o.smoothing, o.dp_window_size or known["dp_window_size"]
@@ -101,15 +108,16 @@ def run_pipeline(df: DataFrame, date_col: str, group_cols: str | Sequence[str],
     chosen = feature_columns(frame, o.use_lags)
     before = set(frame.columns)
     window = o.bs_window_size or known["bs_window_size"]
-    plain = ["feature_periods", "feature_year", "feature_month"]
-    frame = materialize(baselines.run_baselines(frame, series, date_col, [spec.target], o.baseline_types, window, plain, o.create_features))
+    known_ahead = feature_columns(frame, False)  # without lags, which train rows may lack
+    frame = materialize(baselines.run_baselines(frame, series, date_col, [spec.target], o.baseline_types, window, known_ahead, o.create_features))
     made = [c for c in frame.columns if c not in before and c.startswith("baseline_")]
     evaluated, backtest = list(made), None
     if o.model:
         chosen += [c for c in frame.columns if c not in before and c.startswith("feature_")]
         backtest = models.run_backtesting(
             frame, keys, chosen, spec.target, o.training_group, o.model, o.params, o.use_weights, o.use_guardrail, o.baseline_col or f"baseline_{spec.target}_ma_{window}",
-            o.guardrail_limit, o.best_features or o.use_feature_selection, o.n_best_features, o.tune_hyperparameters, o.search_method, 2 if o.use_parallel else 1, o.seed, date_col,
+            o.guardrail_limit, o.best_features or o.use_feature_selection, o.n_best_features, o.tune_hyperparameters, o.search_method, (o.num_cpus or 2) if o.use_parallel else 1, o.seed, date_col,
+            o.n_iter, o.scoring, o.param_distributions,
         )
         frame = backtest.frame
         evaluated.append("prediction")
@@ -118,19 +126,24 @@ def run_pipeline(df: DataFrame, date_col: str, group_cols: str | Sequence[str],
 
 
 def forecast(spark: SparkSession, request: dict) -> dict:
-    """One request as plain data: records in, records out, with metrics; an error comes back as its message."""
+    """One request as plain data: records in, records out, with metrics; an error comes back as its message.
+
+    ``data`` may be a DataFrame instead, and then ``predictions`` is one, so that no row passes the driver.
+    """
     try:
         known = {k: v for k, v in request.items() if k in Options.__dataclass_fields__}
         options = Options(**({"baseline_types": ("MA",)} | known))
-        missing = [k for k in ("data", "date_col", "group_cols", "signal_cols") if not request.get(k)]
+        whole = isinstance(request.get("data"), DataFrame)
+        missing = [k for k in ("data", "date_col", "group_cols", "signal_cols") if not (k == "data" and whole or request.get(k))]
         if missing:
             raise ValueError(f"missing: {missing}")
-        df = from_records(spark, request["data"], request["date_col"])
+        df = request["data"] if whole else from_records(spark, request["data"], request["date_col"])
         out = run_pipeline(df, request["date_col"], request["group_cols"], request["signal_cols"], request.get("target"), options)
         table: dict[str, dict[str, float]] = {}
         for r in out.metrics.collect():
             table.setdefault(r.metric, {})[r.model] = r.value
-        records = [r.asDict() for r in out.frame.where(F.col("sample") == "test").collect()]  # as many as the request asked for
+        test = out.frame.where(F.col("sample") == "test")
+        records = test if whole else [r.asDict() for r in test.collect()]  # as many as the request asked for
         return {"status": "success", "metrics": table, "predictions": records, "feature_importance": out.feature_importance}
     except Exception as e:  # the facade answers every request
         return {"status": "error", "message": f"{type(e).__name__}: {e}"}

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.checkpoints import materialize
+from seriesloom.checkpoints import materialize, shared_folder
 from seriesloom.functions.frequency import detect_frequency
 from seriesloom.operators import baselines, columns, features, guard, metrics, models, preparation, statistics
 from seriesloom.plans import panels as P
@@ -322,6 +321,32 @@ def feature_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.run_feature_engineering(materialize(P.prepared(spark, sf_dir)), SERIES, "date", "qty", "MS", ["filled_qty", "qty"], [], extended_stats=True)
 
 
+_BUNDLE_SIGNALS, _BUNDLE_WINDOWS, _BUNDLE_LAGS = ("filled_qty", "qty"), (2, 6), (4, 8, 12)
+_BUNDLE_STATS = [f"{s}_{n}_{w}" for s in _BUNDLE_SIGNALS for w in _BUNDLE_WINDOWS for n in ("ma", "min", "max", "mean")]
+_BUNDLE = [*_BUNDLE_STATS, *[f"feature_{s}_lag_{n}" for s in _BUNDLE_SIGNALS for n in _BUNDLE_LAGS], "feature_qty_intermittence", "train_weight"]
+
+
+def _bundle_sql() -> str:
+    made = [f"{f}({s}) {_over(w)} AS {s}_{n}_{w}" for s in _BUNDLE_SIGNALS for w in _BUNDLE_WINDOWS for n, f in (("ma", "avg"), ("min", "min"), ("max", "max"), ("mean", "avg"))]
+    made += [
+        f"CASE WHEN sample = 'test' AND row_number() OVER (PARTITION BY l_suppkey, cutoff, sample ORDER BY date) - 1 >= {n} THEN NULL "
+        f"ELSE lag({s}, {n}) OVER (PARTITION BY l_suppkey, cutoff ORDER BY date) END AS feature_{s}_lag_{n}"
+        for s in _BUNDLE_SIGNALS
+        for n in _BUNDLE_LAGS
+    ]
+    made.append("coalesce(avg(CASE WHEN sample = 'train' THEN CASE WHEN coalesce(qty, 0) = 0 THEN 100.0 ELSE 0.0 END END) OVER (PARTITION BY l_suppkey, cutoff), 0) AS feature_qty_intermittence")
+    made.append("CASE WHEN sample = 'train' THEN feature_periods / nullif(max(CASE WHEN sample = 'train' THEN feature_periods END) OVER (PARTITION BY l_suppkey, cutoff), 0) END AS train_weight")
+    rounded = ", ".join(f"{rs(c)} AS {c}" for c in _BUNDLE)
+    return f"WITH {_PERIODS}, b AS (SELECT *, {', '.join(made)} FROM per) SELECT l_suppkey, cutoff, date, sample, horizon, feature_periods, CAST(month(date) AS INT) AS feature_month, {rounded} FROM b"
+
+
+@query(_bundle_sql())
+def feature_bundle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bundle's periods, windows, lags, intermittence and weights; its other columns have queries of their own."""
+    keys = [*SERIES, "date", "sample", "horizon", "feature_periods", "feature_month"]
+    return feature_bundle(spark, sf_dir).select(*keys, *[rd(c).alias(c) for c in _BUNDLE])
+
+
 # statistics per series
 
 
@@ -501,11 +526,20 @@ def lr_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*SERIES, "date", rd("baseline_qty_lr", 4).alias("baseline_qty_lr"))
 
 
-@query()
+@query(
+    f"""WITH {_PERIODS}, x AS (SELECT l_suppkey, cutoff, date, sample, qty, CAST(coalesce(qty, 0) AS DOUBLE) AS y, feature_periods AS x1,
+ sin(2 * pi() * CAST(dayofyear(date) / 365.25 AS DOUBLE)) AS x2, cos(2 * pi() * CAST(dayofyear(date) / 365.25 AS DOUBLE)) AS x3 FROM per),
+a AS (SELECT l_suppkey, cutoff, regr_slope(x2, x1) AS b2, regr_intercept(x2, x1) AS a2, regr_slope(x3, x1) AS b3, regr_intercept(x3, x1) AS a3 FROM x WHERE sample = 'train' GROUP BY ALL),
+z AS (SELECT x.*, x2 - a2 - b2 * x1 AS z2, x3 - a3 - b3 * x1 AS w3 FROM x JOIN a USING (l_suppkey, cutoff)),
+c AS (SELECT l_suppkey, cutoff, regr_slope(w3, z2) AS b FROM z WHERE sample = 'train' GROUP BY ALL),
+o AS (SELECT z.*, w3 - b * z2 AS z3 FROM z JOIN c USING (l_suppkey, cutoff)),
+f AS (SELECT l_suppkey, cutoff, regr_slope(y, x1) AS c1, regr_intercept(y, x1) AS c0, regr_slope(y, z2) AS c2, regr_slope(y, z3) AS c3 FROM o WHERE sample = 'train' GROUP BY ALL)
+SELECT o.l_suppkey, o.cutoff, o.date, {rs("CASE WHEN sample = 'train' THEN qty ELSE c0 + c1 * x1 + c2 * z2 + c3 * z3 END", 4)} AS baseline_qty_lr FROM o JOIN f USING (l_suppkey, cutoff)"""
+)
 def lr_baseline_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.date_features(features.periods(P.prepared(spark, sf_dir), SERIES, "date", "qty"), "date")
     out = baselines.lr_baseline(rows, SERIES, "date", ["qty"], ["feature_periods", "feature_sin_yearly_1", "feature_cos_yearly_1"])
-    return out.select(*SERIES, "date", "baseline_qty_lr")
+    return out.select(*SERIES, "date", rd("baseline_qty_lr", 4).alias("baseline_qty_lr"))
 
 
 @query()
@@ -676,6 +710,22 @@ def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.metrics.select("model", "metric", F.round("value", 4).alias("value"))
 
 
+def _pipeline_without_model(spark: SparkSession, sf_dir: str):
+    options = Options(P.HORIZON, "MS", P.CUTOFFS, dp_window_size=P.WINDOW, fe_window_size=(2, 6), lags=(4, 8), baseline_types=("MA",), bs_window_size=4, model=None)
+    return run_pipeline(P.supp_m(spark, sf_dir), "date", ["l_suppkey"], ["qty"], "qty", options)
+
+
+@query(f"WITH {_EVALUATED} " + " UNION ALL ".join(f"SELECT 'baseline_qty_ma_4' AS model, '{m}' AS metric, {rs(e, 4)} AS value FROM ev" for m, e in _metric_sql("ma").items()))
+def pipeline_baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline from raw cells to metrics, without a learned model."""
+    return _pipeline_without_model(spark, sf_dir).metrics.select("model", "metric", rd("value", 4).alias("value"))
+
+
+@query(f"WITH {PREP} SELECT cutoff, count(*) AS n_rows, count_if(sample = 'train') AS train_rows, count_if(sample = 'test') AS test_rows FROM prep GROUP BY 1")
+def pipeline_cutoff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pipeline_without_model(spark, sf_dir).cutoff_stats
+
+
 # sources, sinks, streams
 
 
@@ -691,15 +741,32 @@ def generate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM ({P.SQL['ev_d']})")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="csv-")
-    tables.write_results(P.ev_d(spark, sf_dir), f"{where}/csv_round_trip")
-    return tables.read_csv(spark, f"{where}/csv_round_trip", "event_type string, date date, n double")
+    where = f"{shared_folder(spark)}/csv_round_trip"
+    tables.write_results(P.ev_d(spark, sf_dir), where)
+    return tables.read_csv(spark, where, "event_type string, date date, n double")
+
+
+@query(
+    f"WITH {_EVALUATED} "
+    + " UNION ALL ".join(f"SELECT '{n}' AS model, " + ", ".join(f'{rs(e, 4)} AS "{m}"' for m, e in _metric_sql(c).items()) + " FROM ev" for n, c in _MODELS.items())
+)
+def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = f"{shared_folder(spark)}/metrics_csv"
+    tables.write_metrics(metrics.evaluate(_evaluated(spark, sf_dir), "qty", list(_MODELS)), where)
+    out = tables.read_csv(spark, where, "model string, " + ", ".join(f"`{m}` double" for m in metrics.METRICS))
+    return out.select("model", *[rd(F.col(f"`{m}`"), 4).alias(m) for m in metrics.METRICS])
+
+
+@query(f"WITH {PREP} SELECT cutoff, count(*) AS n_rows, count_if(sample = 'train') AS train_rows, count_if(sample = 'test') AS test_rows FROM prep GROUP BY 1")
+def cutoff_stats_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = f"{shared_folder(spark)}/cutoff_stats_csv"
+    tables.write_cutoff_statistics(preparation.cutoff_statistics(P.prepared(spark, sf_dir)), where)
+    return tables.read_csv(spark, where, "cutoff date, n_rows long, train_rows long, test_rows long")
 
 
 @query()
 def request_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = [r.asDict() | {"date": r.date.isoformat()} for r in P.ev_d(spark, sf_dir).collect()]  # a request's own records
-    out = forecast(spark, {"data": data, "date_col": "date", "group_cols": ["event_type"], "signal_cols": ["n"], "freq": "D", "horizon": 3, "model": "LR", "lags": (1, 2), "fe_window_size": (2, 3)})
+    out = forecast(spark, {"data": P.ev_d(spark, sf_dir), "date_col": "date", "group_cols": ["event_type"], "signal_cols": ["n"], "freq": "D", "horizon": 3, "model": "LR", "lags": (1, 2), "fe_window_size": (2, 3)})
     if out["status"] != "success":
         raise RuntimeError(out["message"])
-    return spark.createDataFrame([(r["event_type"], r["date"], float(r["prediction"])) for r in out["predictions"]], "event_type string, date date, prediction double")
+    return out["predictions"].select("event_type", "date", "prediction")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seriesloom.functions.frequency import Frequency, frequency_params
+from seriesloom.operators.metrics import METRICS
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -40,14 +41,15 @@ def from_records(spark: SparkSession, records: Sequence[dict], date_col: str, sc
     return df.withColumn(date_col, F.to_date(F.col(date_col)))
 
 
-def generate_sample(spark: SparkSession, freq: str = "D", periods: int | None = None, end: date = date(2024, 12, 29), products: int = 5, stores: int = 2, seed: int = 42) -> DataFrame:
-    """Seasonal series of products and stores with trend, noise and calendar effects, ending on the grid at or before ``end``.
+def generate_sample(spark: SparkSession, freq: str = "D", periods: int | None = None, end: date = date(2024, 12, 29), products: int = 5, stores: int = 2, seed: int = 42, start: date | None = None) -> DataFrame:
+    """Seasonal series of products and stores with trend, noise and calendar effects, ending on the grid at or before ``end``, or from ``start`` on.
 
     The noise hangs on the key and the period, so that a seed gives the same panel in any partitioning.
     """
     f, n = Frequency.parse(freq), periods or frequency_params(freq)["periods"]
     span = {"D": n * f.step + 7, "B": 2 * n + 14, "W": 7 * n + 14}.get(f.kind, 31 * n * {"Q": 3, "Y": 12}.get(f.kind, 1) + 62)
-    dates = spark.range(1).select(F.slice(f.grid(F.date_sub(F.lit(end), span), F.lit(end)), -n, n).alias("d"))
+    grid = f.grid(F.lit(start), F.date_add(F.lit(start), span)) if start else f.grid(F.date_sub(F.lit(end), span), F.lit(end))
+    dates = spark.range(1).select(F.slice(grid, 1 if start else -n, n).alias("d"))
     t = dates.select(F.posexplode("d").alias("t", "date"))
     keys = spark.range(products * stores).select(
         F.format_string("P%03d", F.floor(F.col("id") / stores) + 1).alias("product"), F.format_string("S%02d", F.col("id") % stores + 1).alias("store"), "id"
@@ -68,6 +70,19 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
+def write_metrics(metrics: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Metrics as a wide table: a row per model, a column per metric; ``metrics`` is tidy (model, metric, value)."""
+    write_results(metrics.groupBy("model").pivot("metric", list(METRICS)).agg(F.first("value")), path, fmt)
+
+
+def write_cutoff_statistics(stats: DataFrame, path: str, fmt: str = "csv") -> bool:
+    """Rows per cutoff, written only where there are several cutoffs; tells whether they were."""
+    several = stats.limit(2).count() > 1
+    if several:
+        write_results(stats, path, fmt)
+    return several
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
     """Replaces a table of a database that Spark has a driver for."""
     df.write.jdbc(url, table, mode="overwrite", properties=properties or {})
