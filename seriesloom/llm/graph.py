@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import materialize
 
 
-def components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) of every node that has an edge to another; root is the smallest node reachable.
 
     Each round hangs every neighbour of a node on the smallest one it knows: first the
     larger neighbours (large star), then the smaller ones (small star). Rounds grow with
-    the logarithm of the component size, and a node's list is never collected: the
-    minimum is a partial aggregate and the re-hanging is a join.
+    the logarithm of the component size until nothing changes, and a node's list is
+    never collected: the minimum is a partial aggregate and the re-hanging is a join.
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
     edge = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edge, seen = materialize(edge), None
-    for _ in range(most_rounds):
+    while True:
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written first, so that the join shuffles both sides and a node with very many neighbours can be split
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -31,7 +31,5 @@ def components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edge.select(F.col("v").alias("node"), F.col("v").alias("root"))
     return edge.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seriesloom.functions.ranks import running_before
 from seriesloom.llm.common import WORD, materialize, row_key
 
 #: Weights of the sources in the order of their names, repeating.
@@ -23,40 +24,36 @@ def text_quality() -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size) with the number of rows of a source at most -> target of each source.
+    """(source, source_size) -> target of each source, with as many rows as there are sources.
 
     The whole size is shared out by weight; a source that would get more than ``most``
     times its size stops there and the rest is shared again. Sorted by the ratio of
     limit to weight, the sources that stop are a prefix, so that running sums replace
-    the rounds. The table has one row per source.
+    the rounds. The sums run over ranges of the sources, however many there are.
     """
     listed = F.array([F.lit(w) for w in weights])
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    shares = sizes.withColumn("place", place).withColumn("w", F.element_at(listed, (F.col("place") % len(weights) + 1).cast("int")))
-    by_ratio = W.orderBy((F.col("limit") / F.col("w")).asc(), "place")
-    shares = shares.withColumn("limit", F.col("source_size") * most)
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    rest = shares.select(
-        "source",
-        "source_size",
-        "w",
-        "limit",
-        (F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("limit").over(before), F.lit(0))).alias("left"),
-        F.sum("w").over(by_ratio.rowsBetween(0, W.unboundedFollowing)).alias("left_w"),
-        F.row_number().over(by_ratio).alias("rank"),
-    )
+    shares = running_before(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    shares = shares.withColumn("w", F.element_at(listed, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("limit", F.col("source_size") * most)
+    shares = materialize(shares.withColumn("ratio", F.col("limit") / F.col("w")))
+    whole = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    rest = running_before(shares, [F.col("ratio").asc(), F.col("place").asc()], {"stopped": F.col("limit"), "stopped_w": F.col("w")})
+    rest = rest.withColumn("left", F.lit(whole.size) - F.col("stopped")).withColumn("left_w", F.lit(whole.w) - F.col("stopped_w"))
     stops = F.col("limit") * F.col("left_w") <= F.col("left") * F.col("w")
-    open_at = F.min(F.when(~stops, F.struct("rank", "left", "left_w"))).over(W.partitionBy())
-    shared = rest.withColumn("at", open_at)
-    target = F.when(F.col("at").isNull() | (F.col("rank") < F.col("at.rank")), F.col("limit").cast("double")).otherwise(
-        F.col("at.left") * F.col("w") / F.col("at.left_w")
-    )
-    return shared.select("source", "source_size", target.alias("target"))
+    at = rest.where(~stops).agg(F.min(F.struct("ratio", "place", "left", "left_w")).alias("at")).first().at  # the first that does not stop
+    target = F.col("limit").cast("double")
+    if at is not None:
+        before = (F.col("ratio") < at.ratio) | ((F.col("ratio") == at.ratio) & (F.col("place") < at.place))
+        target = F.when(before, target).otherwise(F.lit(at.left) * F.col("w") / F.lit(at.left_w))
+    return rest.select("source", "source_size", target.alias("target"))
 
 
-def draw_key(id_col: str, weight: Column, seed: str = "mix") -> Column:
-    """Exponential key -ln(u) / weight with u from the id's MD5: small keys come first, and reruns agree."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+def draw_key(id_col: str, text_col: str, weight: Column, seed: str = "mix") -> Column:
+    """Exponential key -ln(u) / weight with u from the MD5 of id and text: small keys come first, and reruns agree.
+
+    The text is in it so that rows without ids, or with one id, spread over all keys.
+    """
+    none = F.lit("null")
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), none), F.lit("|"), F.coalesce(F.col(text_col), none)).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     return -F.ln(u) / weight
 
@@ -72,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     (weighted sampling without replacement), and the last one contributes only the words
     still missing. Null texts and texts without words have size 0 and are taken 0 times.
     The null source is a source of its own, the last one. Repeated rows each count; rows
-    with equal ids share a key and are ordered by size.
+    with equal id and text share a key, and have one size.
 
     Nothing sorts a whole source: keys fall into SLICES ranges, sums per range decide
     which are taken whole, and only the range in which the budget ends is ordered.
@@ -85,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         *([] if row is None else [row.alias("row")]),
     )
     own = ["id", "source", "size"] if row is None else ["id", "source", "size", "row"]
-    key = draw_key("id", text_quality() if weight is None else weight)
+    key = draw_key("id", "text", text_quality() if weight is None else weight)
     rows = sized.select(*own, key.alias("key"))
     rows = materialize(rows.withColumn("slice", F.floor(F.col("key") / (F.col("key") + 1.0) * SLICES).cast("int")))
     cells = rows.groupBy("source", "slice").agg(F.sum("size").alias("cell"))

@@ -82,14 +82,16 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col: str = "doc_id", text_col: str = "text", most_labels: int = MOST_LABELS) -> tuple[bytes, bytes, float, float]:
-    """Good and bad dictionary and the calibration, from at most ``most_labels`` labelled documents.
+    """Good and bad dictionary and the calibration, from at most ``most_labels`` labelled documents, the smallest text of each id.
 
     Half of those documents give the blocks of the dictionaries, at most MOST_BYTES of each
     class; the other half, unseen by the dictionaries, gives one number each for the curve.
     """
     ids = F.broadcast(bounded_labels(labels, label_col, trainable, most_labels))
     half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).alias("half")
-    rows = materialize(id_and_text(docs, id_col, text_col).join(ids, "id").select("id", "text", "label", half))
+    # rows of one id give one text, so that the bound on ids bounds the rows
+    rows = id_and_text(docs, id_col, text_col).join(ids, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = materialize(rows.select("id", "text", "label", half))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

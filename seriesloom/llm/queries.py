@@ -34,7 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _MIXING = r"""
 WITH d AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 k AS (SELECT doc_id, source, size,
-  -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+  -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(text, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
   / greatest(0.05::DOUBLE, 1.0::DOUBLE - coalesce(len(regexp_extract_all(text, '[#*$%&|<>]'))::DOUBLE / greatest(size, 1), 0)) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT source, source_size, 3 * source_size AS lim, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),

@@ -23,7 +23,7 @@ MEMORY = 400_000
 
 def word_features(word: str) -> list[str]:
     """Features of a lower-case word: itself, and its first 4, 5 and 6 characters for what its forms share."""
-    return [word[:64], *(word[:n] + "~" for n in (4, 5, 6) if len(word) >= n)]
+    return [word, *(word[:n] + "~" for n in (4, 5, 6) if len(word) >= n)]
 
 
 class WordScores(dict):
@@ -89,7 +89,7 @@ def telling_features(rows: DataFrame, most: int = MOST_FEATURES) -> list[str]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col: str = "doc_id", text_col: str = "text", most_labels: int = MOST_LABELS) -> tuple[dict[str, float], float]:
-    """Feature weights and bias learned from at most ``most_labels`` labelled documents.
+    """Feature weights and bias learned from at most ``most_labels`` labelled documents, the smallest text of each id.
 
     Every round, each part descends from the shared weights over its own documents and
     the driver averages the parts: a fixed number of vectors of bounded size, whatever
@@ -98,7 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col:
     sentences already under suspicion. No labelled rows, or one class alone: no weights.
     """
     ids = F.broadcast(bounded_labels(labels, label_col, trainable, most_labels))
-    rows = materialize(id_and_text(docs, id_col, text_col).join(ids, "id").select("id", "text", "label").repartition(PARTS, "id"))
+    # rows of one id give one text, so that the bound on ids bounds the rows; sorted, so that reruns learn alike
+    rows = id_and_text(docs, id_col, text_col).join(ids, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = materialize(rows.select("id", "text", "label").repartition(PARTS, "id").sortWithinPartitions("id"))
     names = telling_features(rows)
     sc = docs.sparkSession.sparkContext
     place = sc.broadcast({f: i for i, f in enumerate(names)})

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +11,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from seriesloom.llm import ann, chat, mixing, packing, quality_classifier, quality_rules, simhash, suffix_array, suffix_dedup, token_counts, toxicity
@@ -122,6 +125,34 @@ def test_toxicity_edge_cases(toxic, documents, clashing, empty, spark):
     assert toxicity.keep_clean(documents, none).count() == documents.count()
 
 
+def plain_toxicity(text, weights, bias):
+    """Every sentence with a telling word is an instance; the score is the chance that one of them, or the leak, is toxic."""
+    clean = 1 - 1 / (1 + math.exp(-bias))
+    for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+        total = 0.0
+        for word in re.findall(r"[^\W_]+", sentence):
+            total += weights.get(word, 0.0) + sum(weights.get(word[:n] + "~", 0.0) for n in (4, 5, 6) if len(word) >= n)
+        if total:
+            clean *= 1 - 1 / (1 + math.exp(-(bias + total)))
+    return 1 - clean
+
+
+def test_toxicity_scores_equal_the_plain_formula(spark, documents, hard_texts):
+    long = "x" * 100
+    weights = {"same": 1.5, "line": -0.25, "here~": 2.0, "ünïc~": 3.0, long: 4.0, "text": 0.75}
+    texts = [*hard_texts, f"{long}. {long[:64]}! Same LINE", "Text text? same here", "here\nhereabouts _same_"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.id: r.score for r in toxicity.score(docs, weights, -3.0).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([plain_toxicity(t, weights, -3.0) for t in texts], abs=1e-12)
+
+
+def test_training_takes_one_text_of_an_id_and_reruns_agree(toxic):
+    docs, labels, _ = toxic
+    once = toxicity.train(docs, labels, "toxic", F.lit(True))
+    many = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 4")).repartition(11)
+    assert toxicity.train(many, labels, "toxic", F.lit(True)) == once
+
+
 def test_noisy_or():
     assert toxicity.noisy_or([], -20.0) < 1e-8
     assert toxicity.noisy_or([20.0, 20.0, 0.0, 0.0], -20.0) == pytest.approx(0.75)
@@ -249,6 +280,57 @@ def test_rules_count_as_brute_force(documents, clashing, hard_texts, empty):
     assert quality_rules.op5_quality_rules(empty).count() == 0
 
 
+def plain_votes(text):
+    """The seven rules, read from their definition: 1 good, 0 bad, None abstains."""
+    text = text or ""
+    n, chars, symbols, dup, repeat = brute.rule_counts(text)
+    lines = [x for x in text.split("\n") if brute.words(x)]
+    caps = sum(w.encode().isupper() for w in brute.words(text))
+    ends = sum(x.rstrip(" \t\v\f\r")[-1] in ".!?\"')" for x in lines)
+    m, k = max(n, 1), max(len(lines), 1)
+
+    def vote(good, bad):
+        return 0 if bad else 1 if good else None
+
+    return (
+        vote(n >= 50, n < 20),
+        vote(2.5 <= chars / m <= 9, not 1.5 <= chars / m <= 14),
+        vote(symbols / m < 0.1, symbols / m > 0.3),
+        vote(dup / k < 0.1, dup / k > 0.5),
+        vote(repeat / m < 0.1, repeat / m > 0.3),
+        vote(caps / m < 0.15, caps / m > 0.5),
+        vote(ends / k >= 0.5, len(lines) >= 3 and ends / k < 0.1),
+    )
+
+
+def test_kept_equals_plain_expectation_maximisation(documents, hard_texts):
+    """Votes, accuracies and posteriors document by document, in plain loops."""
+    votes = [plain_votes(t) for t in hard_texts]
+    prior, good, bad = 0.85, [0.995] * 7, [0.8] * 7
+    belief = 0.1 * len(votes)
+
+    def quality(v):
+        z = math.log(prior / (1 - prior))
+        for j, x in enumerate(v):
+            z += 0 if x is None else math.log(good[j] / bad[j]) if x else math.log((1 - good[j]) / (1 - bad[j]))
+        return 1 / (1 + math.exp(-z))
+
+    for _ in range(300):
+        q = [quality(v) for v in votes]
+        prior = min(max((sum(q) + belief * 0.85) / (len(votes) + belief), 0.05), 0.99)
+        for j in range(7):
+            cast = [(p, v[j]) for p, v in zip(q, votes) if v[j] is not None]
+            g = (sum(p for p, x in cast if x) + belief * 0.85 * 0.995) / (sum(p for p, _ in cast) + belief * 0.85)
+            b = (sum(1 - p for p, x in cast if x) + belief * 0.15 * 0.8) / (sum(1 - p for p, _ in cast) + belief * 0.15)
+            good[j] = min(max(g, 0.99), 0.9995)
+            bad[j] = min(max(b, 0.001), good[j] - 0.02)
+    got = by_id(quality_rules.op5_quality_rules(documents))
+    for i, (t, v) in enumerate(zip(hard_texts, votes)):
+        n, _, _, _, repeat = brute.rule_counts(t)
+        assert got[i].quality == pytest.approx(quality(v), abs=1e-6), i
+        assert got[i].kept == (n >= 20 and 100 * repeat <= 30 * n and quality(v) >= 0.5), i
+
+
 def test_expectation_maximisation_tells_rules_apart():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.8
@@ -280,6 +362,22 @@ def test_compression_tells_good_from_bad(spark, prose):
     assert quality_classifier.op6_quality(docs.where("false"), labels).count() == 0
 
 
+def test_quality_scores_equal_the_plain_formula(spark, hard_texts, prose):
+    good, bad = prose(1, 3000).encode(), b"BUY NOW!! CLICK### " * 400
+    tools = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (good, bad)]
+    texts = [*hard_texts, prose(2, 900), "BUY NOW!! CLICK### " * 300]
+    want = []
+    for t in texts:
+        data = (t or "").encode()
+        a, b = (sum(len(tool.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)) for tool in tools)
+        x = (b - a) / (a + b) if data else 0.0
+        want.append((x, 1 / (1 + math.exp(-(9.0 * x - 0.5)))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(quality_classifier.score(docs, good, bad, 9.0, -0.5), "id")
+    assert [got[i].difference for i in range(len(texts))] == pytest.approx([x for x, _ in want], abs=1e-12)
+    assert [got[i].score for i in range(len(texts))] == pytest.approx([p for _, p in want], abs=1e-12)
+
+
 # 7 and 8
 
 
