@@ -26,7 +26,7 @@ def encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = df
     for c in names(columns):
         values = df.select(F.col(c).alias("_v")).distinct()
-        places = running_before(values, [F.col("_v").asc_nulls_last()], F.lit(1), "_place")
+        places = running_before(values, [F.col("_v").asc_nulls_last()], {"_place": F.lit(1)})
         places = places.select("_v", F.col("_place").cast("int").alias(f"feature_{c}"))
         out = out.join(places, F.col(c).eqNullSafe(F.col("_v")), "left").drop("_v")
     return out

@@ -175,7 +175,7 @@ def quantile_edges(stats: DataFrame, value: str, q: int, by: Sequence[str] = ())
     keys = [f"_by_{c}" for c in by]
     counts = stats.where(F.col(value).isNotNull()).groupBy(*own, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
     order = [*[F.col(k).asc_nulls_first() for k in keys], F.col("_v").asc()]
-    counts = materialize(running_before(counts, order, F.col("_c"), "_before"))
+    counts = materialize(running_before(counts, order, {"_before": F.col("_c")}))
     # totals per group: as many rows as cutoffs; ranks count from the group's first value
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_before").alias("_first"))
     totals = totals.select(*[F.col(k).alias(f"{k}_") for k in keys], "_n", "_first")

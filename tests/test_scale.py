@@ -24,12 +24,12 @@ def test_running_sums_over_ranges(spark):
     rng = np.random.default_rng(3)
     rows = [(int(v), int(a)) for v, a in zip(rng.permutation(500), rng.integers(0, 9, 500))]
     df = spark.createDataFrame(rows, "v int, a int").repartition(7)
-    got = {r.v: r.before for r in running_before(df, [F.col("v").asc()], F.col("a"), "before").collect()}
+    got = {r.v: (r.before, r.place) for r in running_before(df, [F.col("v").asc()], {"before": F.col("a"), "place": F.lit(1)}).collect()}
     total = 0
-    for v, a in sorted(rows):
-        assert got[v] == total
+    for place, (v, a) in enumerate(sorted(rows)):
+        assert got[v] == (total, place)
         total += a
-    assert running_before(df.where("false"), [F.col("v").asc()], F.lit(1), "before").count() == 0
+    assert running_before(df.where("false"), [F.col("v").asc()], {"before": F.lit(1)}).count() == 0
 
 
 def test_codes_and_edges_need_no_single_task(spark):
