@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.checkpoints import materialize, shared_folder
 
-__all__ = ["WORD", "bounded_labels", "held_out", "id_and_text", "materialize", "read", "row_key", "rows_of", "shared_folder", "slices"]
+__all__ = ["WORD", "bounded_labels", "held_out", "id_and_text", "materialize", "read", "row_key", "rows_of", "shared_folder", "slices", "unused"]
 
 #: A word is a run of anything but the space and the control characters 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,14 @@ def row_key(docs: DataFrame):
     return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one where a column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def rows_of(batch: pa.RecordBatch) -> tuple[pa.Array, list[bytes]]:
     """Ids and UTF-8 texts of a batch; a null text is empty."""
     texts = batch.column(1).cast(pa.binary()).to_pylist()

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesloom.functions.ranks import running_before
-from seriesloom.llm.common import WORD, materialize, row_key
+from seriesloom.llm.common import WORD, materialize, row_key, unused
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -122,10 +122,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     in every column are one row that comes as often as all of them are taken.
     """
     times = mix(docs, row=row_key(docs)).where("taken > 0")
-    times = times.select(F.col("row").alias("_row"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
-    times = materialize(times.groupBy("_row").agg(F.sum("times").cast("int").alias("_times"), F.count("*").alias("_rows")).where("_times > 0"))
-    keyed = docs.withColumn("_row", row_key(docs))
-    if not times.where("_rows > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["_row"])
-    kept = keyed.join(times, "_row")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    own, often, several, copy = (unused(docs, c) for c in ("_row", "_times", "_rows", "_copy"))
+    times = times.select(F.col("row").alias(own), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    times = materialize(times.groupBy(own).agg(F.sum("times").cast("int").alias(often), F.count("*").alias(several)).where(F.col(often) > 0))
+    keyed = docs.withColumn(own, row_key(docs))
+    if not times.where(F.col(several) > 1).isEmpty():
+        keyed = keyed.dropDuplicates([own])
+    kept = keyed.join(times, own)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).select(docs.columns)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import id_and_text, materialize, row_key, rows_of, slices
+from seriesloom.llm.common import id_and_text, materialize, row_key, rows_of, slices, unused
 from seriesloom.llm.graph import components
 from seriesloom.llm.near_copies import near_copies
 
@@ -145,8 +145,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = near_copies(docs).groupBy("component", "id", "row").agg(F.count("*").alias("rows"))
     order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "rows")
     best = rows.groupBy("component").agg(F.min(order).alias("best"))
-    best = materialize(best.select(F.col("best.row").alias("_row"), F.col("best.rows").alias("_rows")))
-    kept = docs.withColumn("_row", row_key(docs)).join(best.select("_row"), "_row", "left_semi")
-    if not best.where("_rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["_row"])
+    row = unused(docs, "_row")
+    best = materialize(best.select(F.col("best.row").alias(row), F.col("best.rows").alias("rows")))
+    kept = docs.withColumn(row, row_key(docs)).join(best.select(row), row, "left_semi")
+    if not best.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates([row])
     return kept.select(docs.columns)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import id_and_text, materialize, rows_of, slices
+from seriesloom.llm.common import id_and_text, materialize, rows_of, slices, unused
 from seriesloom.llm.suffix_array import repeated_starts
 
 LENGTH, GRAM = 400, 64
@@ -392,10 +392,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     of common prose). Documents of which nothing but white space is left go; null texts
     and empty ones stay. Cuts lie between words.
     """
-    spans = repeated_spans(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS + 1, gram=PASSAGE_GRAM).where("n_removed > 0").select("sha", "spans").groupBy("sha").agg(F.first("spans").alias("own_spans"))
-    joined = docs.withColumn("own_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(
-        spans.withColumnRenamed("sha", "own_sha"), "own_sha", "left"
-    )
+    spans = repeated_spans(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS + 1, gram=PASSAGE_GRAM).where("n_removed > 0").select("sha", "spans")
+    own_sha, own_spans = unused(docs, "own_sha"), unused(docs, "own_spans")
+    spans = spans.groupBy(F.col("sha").alias(own_sha)).agg(F.first("spans").alias(own_spans))
+    joined = docs.withColumn(own_sha, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(spans, own_sha, "left")
     names = docs.columns
     text_at, spans_at = names.index("text"), len(names)
 
@@ -412,4 +412,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts]).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay, pa.bool_()))
 
-    return joined.select(*[docs[c] for c in names], "own_spans").mapInArrow(run, docs.schema)
+    return joined.select(*names, own_spans).mapInArrow(run, docs.schema)

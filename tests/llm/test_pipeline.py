@@ -76,3 +76,41 @@ def test_each_stage_does_its_work(spark, tables, tmp_path):
 def test_run_gives_the_last_stage(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+@pytest.fixture(scope="module")
+def hard(spark, prose, tmp_path_factory):
+    """Null and repeated ids, null columns, repeated rows, and columns with names that stages use themselves."""
+    where = str(tmp_path_factory.mktemp("hard"))
+    texts = [prose(9000 + i, 70) for i in range(12)]
+    rows = [(None if i % 3 == 0 else i // 3, t, None if i % 2 else "en", None if i % 4 == 0 else "src0", len(t)) for i, t in enumerate(texts)]
+    rows += [rows[1], rows[1], (None, texts[2], "en", "src0", len(texts[2])), (7, None, None, None, None), (None, "", "en", "src0", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    extra = ["id", "row", "_row", "fp", "sha", "spans", "size", "times", "key", "slice", "component", "score", "label", "h", "own_sha", "w", "z"]
+    docs.selectExpr("*", *[f"{k} AS {c}" for k, c in enumerate(extra)]).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(None, 1, 1), (0, 0, 1), (1, None, None)], "doc_id long, toxic int, quality int").write.parquet(f"{where}/labels.parquet")
+    return where, texts
+
+
+def test_stages_lose_no_row_without_a_reason(spark, hard, tmp_path):
+    where, texts = hard
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    columns, kept = docs.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, where).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert k == 4 or docs.columns == columns
+        kept.append(docs.collect())
+    assert len(kept[0]) == 18  # no label tells toxic texts
+    assert Counter(r.text for r in kept[1] if r.text) == Counter(texts)  # one of each group of copies
+    assert sum(not r.text for r in kept[1]) == 1  # texts without words are copies of one another
+    assert Counter(r.text for r in kept[2]) == Counter(r.text for r in kept[1])
+    assert {r.text for r in kept[3]} == set(texts)  # only texts without words have nothing to take
+    assert {r.doc_id for r in kept[4]} == {r.doc_id for r in kept[3]}
+
+
+def test_nothing_in_nothing_out(spark, hard, tmp_path):
+    docs = spark.read.parquet(f"{hard[0]}/documents.parquet").where("false")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{hard[0]}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
