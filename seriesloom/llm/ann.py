@@ -116,7 +116,8 @@ def _hashed(tables: int, probes: int, rows: int, every: int):
                 own, asked = [], []
                 for signs in rotations(int(dim), len(widths), tables):
                     own.append(buckets(unit, signs, widths, 1)[:, 0])
-                    asked.append(buckets(unit[asks], signs, widths, probes))
+                    if len(asks):
+                        asked.append(buckets(unit[asks], signs, widths, probes))
                 looks: list[list | None] = [None] * len(at)
                 for j, i in enumerate(asks):
                     looks[i] = [c[j].tolist() for c in asked]

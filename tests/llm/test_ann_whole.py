@@ -72,3 +72,13 @@ def test_repeated_ids_take_one_place(spark):
     got = found(spark, [(0, x), *near, *copies, *equal], block=4096)
     assert [i for i, _ in got[0]] == [7, *range(20, 29)]
     assert got[0][0][1] == pytest.approx(8e-3)
+
+
+def test_batches_without_queries(spark):
+    x = np.random.default_rng(2).normal(size=(150, 16))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = found(spark, [(i + 1, v) for i, v in enumerate(x)])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {100} and len(got[100]) == 10
