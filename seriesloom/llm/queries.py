@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import ann, chat, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity
+from seriesloom.llm import ann, chat, exact_dedup, fill_in_middle, hard_negatives, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity
 from seriesloom.llm.common import read
 
 
@@ -29,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": _on("documents", token_counts.op8_token_counts),
     "op9_mixing": _on("documents", mixing.op9_mixing),
     "op10_chat": _on("conversations", chat.op10_chat),
+    "op11_hard_negatives": _on("embeddings", hard_negatives.op11_hard_negatives),
+    "op12_fill_in_middle": _on("documents", fill_in_middle.op12_fill_in_middle),
+    "op13_exact_dedup": _on("documents", exact_dedup.op13_exact_dedup),
 }
 
 _MIXING = r"""
@@ -70,5 +73,35 @@ SELECT pair_id, block, CAST(piece AS BIGINT) AS piece, """ + ", ".join(
     if name in names
 ) + " FROM z GROUP BY pair_id, block, piece"
 
+_NEGATIVES = """
+WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, list_inner_product(a.v::DOUBLE[], r.v::DOUBLE[])::BIGINT AS score
+  FROM u a JOIN u r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
+
+_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS x, coalesce(array_to_string(u[a + 1:b], ''), '') AS y, coalesce(array_to_string(u[b + 1:], ''), '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+_EXACT = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AND row_number() OVER (PARTITION BY coalesce(text, ''), doc_id) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
 #: The others train, hash or tokenize in ways that SQL has no functions for; their tests use brute force.
-ORACLE_SQL: dict[str, str] = {"op9_mixing": _MIXING, "op10_chat": _CHAT}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": _MIXING,
+    "op10_chat": _CHAT,
+    "op11_hard_negatives": _NEGATIVES,
+    "op12_fill_in_middle": _MIDDLE,
+    "op13_exact_dedup": _EXACT,
+}
