@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.boosting import boosted_series
+from seriesloom.operators.groups import appended
 from seriesloom.panel import names, trailing
 
 
@@ -37,27 +38,24 @@ def croston_baseline(df: DataFrame, group_cols: str | Sequence[str], date_col: s
     copies them at each step; so the series of a task step through their train rows
     together, in time that grows with the rows.
     """
-    keys, out = names(group_cols), df
-    for s in names(signal_cols):
-        name = f"baseline_{s}_croston"
-        schema = T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())])
-        rows = out.repartition(*keys).sortWithinPartitions(*keys, date_col)
-        out = rows.mapInPandas(_croston(keys, s, name, alpha), schema)
-    return out
+    keys, signals = names(group_cols), names(signal_cols)
+    number = lambda s: F.nanvl(F.col(s).cast("double"), F.lit(0.0))
+    needed = {"train": is_train().cast("int")} | {s: F.coalesce(number(s), F.lit(0.0)) for s in signals}
+
+    def compute(rows: dict[str, np.ndarray], series: np.ndarray) -> dict[str, np.ndarray]:
+        made, train = {}, np.flatnonzero(rows["train"])
+        for s in signals:
+            value, final = np.zeros(len(series)), np.zeros(series[-1] + 1)
+            value[train], own = croston(rows[s][train], series[train], alpha)
+            final[own[0]] = own[1]
+            made[f"baseline_{s}_croston"] = np.where(rows["train"] == 1, value, final[series])
+        return made
 
+    return appended(df, keys, [date_col], needed, [T.StructField(f"baseline_{s}_croston", T.DoubleType()) for s in signals], compute)
 
-def _croston(keys: Sequence[str], signal: str, name: str, alpha: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, number in _whole_series(batches, keys):
-            train = np.flatnonzero((rows["sample"] == "train").to_numpy())
-            y = np.nan_to_num(pd.to_numeric(rows[signal]).astype(float).to_numpy())
-            value, final = np.zeros(len(rows)), np.zeros(number[-1] + 1)
-            value[train], own = croston(y[train], number[train], alpha)
-            final[own[0]] = own[1]
-            value = np.where((rows["sample"] == "train").to_numpy(), value, final[number])
-            yield rows.assign(**{name: value})
 
-    return run
+def is_train() -> Column:
+    return F.coalesce(F.col("sample") == "train", F.lit(False))
 
 
 def croston(y: np.ndarray, series: np.ndarray, alpha: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -128,10 +126,6 @@ def _least_squares(keys: Sequence[str], columns: Sequence[str]):
     return solve
 
 
-#: Rows of many series that are boosted together; a longer series goes alone.
-TOGETHER = 1 << 14
-
-
 def boosted_baseline(
     df: DataFrame, group_cols: str | Sequence[str], date_col: str, signal_cols: Sequence[str], feature_cols: Sequence[str], trees: int = 1000, rate: float = 0.05, leaves: int = 31
 ) -> DataFrame:
@@ -139,51 +133,29 @@ def boosted_baseline(
 
     Series with fewer than two train rows get NULL on test rows. A missing feature counts
     as the smallest value. Series are dealt to tasks by their keys; a task grows the
-    trees of all its series together, about TOGETHER rows at a time.
+    trees of all its series together, about ``groups.TOGETHER`` rows at a time.
     """
-    keys, out, columns = names(group_cols), df, list(feature_cols)
+    keys, signals, columns = names(group_cols), names(signal_cols), list(feature_cols)
     keys += ["cutoff"] if "cutoff" in df.columns and "cutoff" not in keys else []
-    for s in names(signal_cols):
-        name = f"baseline_{s}_lgbm"
-        schema = T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())])
-        out = out.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_boosted(keys, s, columns, name, trees, rate, leaves), schema)
-    return out
-
-
-def _whole_series(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Rows sorted by series, and the number of each row's series, in lots of whole series."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(map(len, held)) >= TOGETHER:
-            rows = pd.concat(held, ignore_index=True)
-            number = rows.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
-            open_at = int(np.searchsorted(number, number[-1]))  # the last series may go on
-            if open_at:
-                yield rows[:open_at], number[:open_at]
-            held = [rows[open_at:]]
-    rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
-    if len(rows):
-        yield rows, rows.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
-
-
-def _boosted(keys: Sequence[str], signal: str, columns: Sequence[str], name: str, trees: int, rate: float, leaves: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, number in _whole_series(batches, keys):
-            y = pd.to_numeric(rows[signal]).astype(float).to_numpy()
-            train = (rows["sample"] == "train").to_numpy()
-            fits = np.bincount(number[train], minlength=number[-1] + 1) > 1
-            place = np.cumsum(fits) - 1
-            own, asked = train & fits[number], ~train & fits[number]
-            x = np.nan_to_num(rows[list(columns)].astype(float).to_numpy(), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+    needed = {"train": is_train().cast("int")} | {f"y_{s}": F.col(s).cast("double") for s in signals} | {f"x_{c}": F.col(c).cast("double") for c in columns}
+
+    def compute(rows: dict[str, np.ndarray], series: np.ndarray) -> dict[str, np.ndarray]:
+        train = rows["train"] == 1
+        fits = np.bincount(series[train], minlength=series[-1] + 1) > 1
+        place = np.cumsum(fits) - 1
+        own, asked = train & fits[series], ~train & fits[series]
+        x = np.nan_to_num(np.column_stack([rows[f"x_{c}"] for c in columns]), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        made = {}
+        for s in signals:
+            y = rows[f"y_{s}"]
             value = np.where(train, y, np.nan)
             if asked.any():
-                value[asked] = np.maximum(
-                    boosted_series(x[own], np.nan_to_num(y[own]), place[number[own]], x[asked], place[number[asked]], int(fits.sum()), trees, rate, leaves), 0.0
-                )
-            yield rows.assign(**{name: pd.Series(value, rows.index).astype(object).where(~np.isnan(value), None)})
+                found = boosted_series(x[own], np.nan_to_num(y[own]), place[series[own]], x[asked], place[series[asked]], int(fits.sum()), trees, rate, leaves)
+                value[asked] = np.maximum(found, 0.0)
+            made[f"baseline_{s}_lgbm"] = value
+        return made
 
-    return run
+    return appended(df, keys, [], needed, [T.StructField(f"baseline_{s}_lgbm", T.DoubleType()) for s in signals], compute)
 
 
 def run_baselines(

@@ -29,7 +29,7 @@ def _binned(x: np.ndarray, series: np.ndarray, ask: np.ndarray, ask_series: np.n
     return codes, ask_codes
 
 
-def _may_grow(series: np.ndarray, path: np.ndarray, most: int) -> np.ndarray:
+def may_grow(series: np.ndarray, path: np.ndarray, most: int) -> np.ndarray:
     """Which splits can be among the ``most`` that a series takes: those whose path is no worse than the last of these."""
     order = np.lexsort((-path, series))
     own = series[order]
@@ -41,7 +41,7 @@ def _may_grow(series: np.ndarray, path: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _best_first(gid: np.ndarray, parent: np.ndarray, series: np.ndarray, gain: np.ndarray, most: int) -> np.ndarray:
+def best_first(gid: np.ndarray, parent: np.ndarray, series: np.ndarray, gain: np.ndarray, most: int) -> np.ndarray:
     """The splits a series takes: all if there are ``most`` or fewer, else one after the other, always the largest gain in reach."""
     few = np.bincount(series) <= most
     chosen = [gid[few[series]]]
@@ -102,7 +102,7 @@ def boosted_series(
             found = [np.concatenate(p) for p in zip(found, (gid[split], above[split], owner[split], gain[split], path[split]))]
             keep = split
             if len(found[0]) >= leaves:
-                keep = split[_may_grow(found[2], found[4], leaves - 1)[before:]]
+                keep = split[may_grow(found[2], found[4], leaves - 1)[before:]]
             child = np.full(len(gid), -1)
             child[keep] = np.arange(len(keep)) * 2
             feature, edge = np.divmod(best, width)
@@ -121,7 +121,7 @@ def boosted_series(
         if not len(found[0]):
             break  # nothing left to split, in this tree or any later one
         chosen = np.zeros(made, bool)
-        chosen[_best_first(*found[:4], leaves - 1)] = True
+        chosen[best_first(*found[:4], leaves - 1)] = True
         leaf, ask_leaf = series.copy(), ask_series.copy()
         for level in steps:
             for place, (own, parent, to, _) in zip((leaf, ask_leaf), level):

@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesloom.panel import names
@@ -71,12 +72,31 @@ def top_series(df: DataFrame, group_cols: Sequence[str], target: str, k: int) ->
     return df.join(top.select(*keys), keys, "left_semi")
 
 
-def sample_keys(df: DataFrame, group_cols: Sequence[str], share: float = 0.25, seed: int = 42) -> DataFrame:
-    """``int(share * n)`` of the keys, the same on every run."""
-    keys = names(group_cols)
-    distinct = df.select(*keys).distinct()
-    n = int(share * distinct.count())
-    return distinct.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+#: Ranges of the random order that ``sample_keys`` counts.
+RANGES = 1 << 16
+
+
+def sample_keys(df: DataFrame, group_cols: Sequence[str], share: float = 0.25, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """``int(share * n)`` of the ``n`` keys, of each ``by`` if given, the same on every run.
+
+    Keys stand in a random order that is cut into RANGES ranges; counts per range say in
+    which one the sample ends, and only the keys of that range are sorted.
+    """
+    keys, by = names(group_cols), list(by)
+    h = F.xxhash64(*keys, F.lit(seed))
+    distinct = df.select(*keys).distinct().withColumns({"_h": h, "_range": F.shiftright(h, 48).cast("int")})
+    counts = distinct.groupBy(*by, "_range").agg(F.count("*").alias("_in"))
+    one = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    counts = counts.withColumns({"_before": F.sum("_in").over(one.orderBy("_range")) - F.col("_in"), "_want": F.floor(F.sum("_in").over(one) * share)})
+    counts = counts.where(F.col("_before") < F.col("_want")).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), "_before", "_want", "_in")
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = distinct.join(counts, same)
+    whole = placed.where(F.col("_before") + F.col("_in") <= F.col("_want"))
+    last = placed.where(F.col("_before") + F.col("_in") > F.col("_want"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*by, "_range").orderBy("_h", *keys))
+    return whole.select(*keys).unionByName(last.withColumn("_place", place).where(F.col("_place") <= F.col("_want")).select(*keys))
 
 
 def rollup(df: DataFrame, by: Sequence[str], value: str, how: str = "sum") -> DataFrame:

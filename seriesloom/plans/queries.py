@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.checkpoints import materialize, shared_folder
 from seriesloom.functions.frequency import detect_frequency
-from seriesloom.operators import baselines, columns, features, guard, metrics, models, preparation, statistics
+from seriesloom.operators import baselines, columns, features, guard, metrics, models, preparation, statistics, tuning
 from seriesloom.plans import panels as P
 from seriesloom.plans.pipeline import Options, forecast, run_pipeline
 from seriesloom.sources import tables
@@ -674,7 +675,7 @@ _KEYS = ["o_orderpriority", "o_orderstatus"]
 _FEATURES = ["feature_periods", "feature_month", "feature_week", "feature_filled_n_orders_lag_1", "feature_filled_n_orders_lag_4"]
 
 
-def _forecast(model: str, params: dict) -> Query:
+def _forecast(model: str, params: dict | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = models.run_backtesting(_model_frame(spark, sf_dir), _KEYS, _FEATURES, "n_orders", model=model, params=params)
         return out.frame.where("sample = 'test'").select(*_KEYS, "cutoff", "date", "horizon", "prediction")
@@ -683,18 +684,17 @@ def _forecast(model: str, params: dict) -> Query:
     return query()(run)
 
 
-_forecast("LGBM", {"maxIter": 10, "maxDepth": 5})
-_forecast("GBM", {"maxIter": 5, "maxDepth": 3})
-_forecast("RF", {"numTrees": 10, "maxDepth": 6})
-_forecast("LR", {"regParam": 1e-6, "solver": "normal"})
-_forecast("ADA", {"maxIter": 4, "stepSize": 0.5})
+for _model in models.MODELS:  # the parameters that go with the number of rows, but fewer trees in the forest
+    _forecast(_model, {"numTrees": 40, "maxDepth": 10} if _model == "RF" else None)
 
 
 @query()
 def tune_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, inputs = models.imputed(_model_frame(spark, sf_dir), _FEATURES, "GBM")
-    train = models.VectorAssembler(inputCols=inputs, outputCol="features").transform(rows.where("sample = 'train'")).withColumn("_y", F.coalesce("n_orders", F.lit(0.0)))
-    best = models.tune_parameters(train, "GBM", candidates=[{"maxIter": 3, "maxDepth": d} for d in (2, 4)], folds=2, date_col="date")
+    """Successive halving: rows grow to 3,000 while candidates shrink."""
+    train = _model_frame(spark, sf_dir).where("sample = 'train'")
+    rows = tuning.rows_for(train, F.lit("all"), _FEATURES, F.coalesce("n_orders", F.lit(0.0)), F.lit(1.0), "date", 42)
+    space = models.grid("GBM") | {"maxIter": [10, 20]}
+    best = tuning.search(rows, {"all": rows.count()}, "GBM", space).best["all"]
     return spark.createDataFrame([(k, float(v)) for k, v in sorted(best.items())], "parameter string, value double")
 
 
@@ -741,7 +741,7 @@ def generate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM ({P.SQL['ev_d']})")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = f"{shared_folder(spark)}/csv_round_trip"
+    where = f"{shared_folder(spark)}/csv_round_trip-{uuid.uuid4().hex}"
     tables.write_results(P.ev_d(spark, sf_dir), where)
     return tables.read_csv(spark, where, "event_type string, date date, n double")
 
@@ -751,7 +751,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " UNION ALL ".join(f"SELECT '{n}' AS model, " + ", ".join(f'{rs(e, 4)} AS "{m}"' for m, e in _metric_sql(c).items()) + " FROM ev" for n, c in _MODELS.items())
 )
 def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = f"{shared_folder(spark)}/metrics_csv"
+    where = f"{shared_folder(spark)}/metrics_csv-{uuid.uuid4().hex}"
     tables.write_metrics(metrics.evaluate(_evaluated(spark, sf_dir), "qty", list(_MODELS)), where)
     out = tables.read_csv(spark, where, "model string, " + ", ".join(f"`{m}` double" for m in metrics.METRICS))
     return out.select("model", *[rd(F.col(f"`{m}`"), 4).alias(m) for m in metrics.METRICS])
@@ -759,7 +759,7 @@ def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PREP} SELECT cutoff, count(*) AS n_rows, count_if(sample = 'train') AS train_rows, count_if(sample = 'test') AS test_rows FROM prep GROUP BY 1")
 def cutoff_stats_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = f"{shared_folder(spark)}/cutoff_stats_csv"
+    where = f"{shared_folder(spark)}/cutoff_stats_csv-{uuid.uuid4().hex}"
     tables.write_cutoff_statistics(preparation.cutoff_statistics(P.prepared(spark, sf_dir)), where)
     return tables.read_csv(spark, where, "cutoff date, n_rows long, train_rows long, test_rows long")
 

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from seriesloom.operators import baselines
+from seriesloom.operators import baselines, groups
 from seriesloom.operators.boosting import bin_edges, boosted_series
 
 
@@ -81,7 +81,7 @@ def test_series_may_span_batches_and_lots(spark, monkeypatch):
         else:
             assert (v is None) == ((k, i) != ("one row", 0))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    monkeypatch.setattr(baselines, "TOGETHER", 50)
+    monkeypatch.setattr(groups, "TOGETHER", 50)
     try:
         assert make() == whole
     finally:

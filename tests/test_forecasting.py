@@ -108,7 +108,10 @@ def test_grouped_metric_wide(spark):
 
 
 def test_heuristics():
-    assert models.heuristic_params("LGBM", 500, 5) == {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 5, "featureSubsetStrategy": "1.0", "subsamplingRate": 1.0}
+    assert models.heuristic_params("LGBM", 500, 5) == {
+        "maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "num_leaves": 32, "minInstancesPerNode": 5, "featureSubsetStrategy": "1.0", "subsamplingRate": 1.0, "reg_alpha": 0.0, "reg_lambda": 0.0,
+    }
+    assert [models.heuristic_params("LGBM", 500, f)[k] for f in (12, 30, 70, 200) for k in ("num_leaves", "reg_alpha", "reg_lambda")] == [127, 0.0, 0.0, 127, 0.01, 0.01, 127, 0.03, 0.05, 127, 0.05, 0.1]
     assert models.heuristic_params("RF", 20_000, 60)["maxDepth"] == 30
     assert models.heuristic_params("LR", 1, 1) == {"regParam": 1e-6, "solver": "normal"}
 

@@ -4,6 +4,8 @@ import datetime
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from seriesloom.operators import baselines, models
 
 
@@ -41,11 +43,11 @@ def test_features_are_scored_over_all_rows(spark):
 def test_backtests_tune_on_dates_with_the_whole_draw(spark, monkeypatch):
     rows = [("a", "c", datetime.date(2024, 1, 1) + datetime.timedelta(i), "train" if i < 40 else "test", float(i), float(i % 5)) for i in range(50)]
     df = spark.createDataFrame(rows, "k string, cutoff string, day date, sample string, y double, f double")
-    asked, tune = [], models.tune_parameters
-    monkeypatch.setattr(models, "tune_parameters", lambda *a, **b: asked.append(b) or {"maxIter": 2})
+    asked, search = [], models.tuning.search
+    monkeypatch.setattr(models.tuning, "search", lambda *a, **b: asked.append((a[0].agg(F.max("day")).first()[0], *a[4:])) or search(*a, **b))
     models.run_backtesting(df, ["k", "cutoff"], ["f"], "y", tune_hyperparameters=True, date_col="day", n_candidates=5)
-    assert [(x["date_col"], x["most"]) for x in asked] == [("day", 5)]
-    tried = []
+    assert asked == [(datetime.date(2024, 2, 9).toordinal() * 86_400_000_000 - datetime.date(1970, 1, 1).toordinal() * 86_400_000_000, "halving", 5)]
+    tried, tune = [], models.tune_parameters
     monkeypatch.setattr(models, "estimator", lambda model, y, p, *a: tried.append(p["i"]) or models.LinearRegression(featuresCol="features", labelCol="_y"))
     train = models.VectorAssembler(inputCols=["f"], outputCol="features").transform(df.where("sample = 'train'")).withColumnRenamed("y", "_y")
     tune(train, "GBM", candidates=[{"i": i} for i in range(12)], search="random", folds=1, date_col="day")
