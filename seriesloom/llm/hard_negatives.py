@@ -71,7 +71,7 @@ class Search:
         self.norms = np.sqrt((vectors**2).sum(1))
         shape = (*low.shape, k)
         self.scores, self.found = np.full(shape, NONE), np.full(shape, LAST)
-        self.visited = self.pruned = 0  # pairs of an anchor and a node
+        self.compared = 0  # pairs of an anchor and a row
 
     def tree(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
         """Searches rows of any labels: one tree a label, for the anchors whose label is the same, or is another one."""
@@ -102,8 +102,6 @@ class Search:
             beats = (most[:, None] >= worst + 1) | (most[:, None] >= worst) & (node.first < last)
             open_ = (most[:, None] >= self.low[who]) & (least[:, None] <= self.high[who]) & beats
             go = open_.any(1)
-            self.visited += int(go.sum())
-            self.pruned += int((~go).sum())
             if not go.any():
                 continue
             who = who[go]
@@ -114,6 +112,7 @@ class Search:
                 stack += [(node.right, who), (node.left, who)] if nearer else [(node.left, who), (node.right, who)]
 
     def _leaf(self, x: np.ndarray, ids: np.ndarray, who: np.ndarray, exact: bool) -> None:
+        self.compared += len(who) * len(ids)
         if exact:
             scores = self.vectors[who] @ x.T
         else:  # whole numbers of any size
