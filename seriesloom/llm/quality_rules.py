@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,19 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import id_and_text, materialize, rows_of, slices
+from seriesloom.llm.common import WORD, id_and_text, materialize, rows_of, slices
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_ends"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_ends", "n_letters", "n_letter_words"]
+WORDS, LETTERS = re.compile(WORD), re.compile(r"[^\W\d_]+")
+BLANK = " \t\n\v\f\r"
 
 
-def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
+def repeated_words(words: list[str], window: int = WINDOW) -> int:
     """Words inside ``window``-word windows that occur twice or more in the text, the first included."""
     n = len(words)
     if n <= window:
         return 0
-    known: dict[bytes, int] = {}
+    known: dict[str, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, n)
     # pairs of equal windows get equal numbers: names of 1, 2, 4, ... words, each from two shorter names
     names, size = ids, 1
@@ -40,15 +44,18 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edge[:n]) > 0).sum())
 
 
-def statistics(text: bytes) -> tuple[int, ...]:
-    """STATS of one UTF-8 text."""
-    words = text.split()  # bytes: splits at space and 09-0D alone
-    chars = len(text.decode("utf-8", "replace")) - sum(map(text.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
-    lines = [x for x in text.split(b"\n") if x.split()]
-    symbols = sum(text.count(bytes([c])) for c in SYMBOLS)
-    caps = sum(w.isupper() for w in words)
-    ends = sum(x.rstrip()[-1:] in b".!?\"')" for x in lines)
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines), caps, ends
+def statistics(data: bytes) -> tuple[int, ...]:
+    """STATS of one UTF-8 text; capitals, letters and marks that end a line are those of any script."""
+    text = data.decode("utf-8", "replace")
+    words = WORDS.findall(text)
+    lines = [x for x in (line.rstrip(BLANK) for line in text.split("\n")) if x]
+    whole = [x for x in text.split("\n") if x.strip(BLANK)]
+    symbols = sum(data.count(bytes([c])) for c in SYMBOLS)
+    caps = sum(w.isupper() and len(w) > 1 for w in words)
+    ends = sum(unicodedata.category(x[-1])[0] == "P" for x in lines)
+    letters = sum(map(len, LETTERS.findall(text)))
+    lettered = sum(w.isalpha() or LETTERS.search(w) is not None for w in words)
+    return len(words), sum(map(len, words)), symbols, len(whole) - len(set(whole)), repeated_words(words), len(whole), caps, ends, letters, lettered
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,48 +79,47 @@ def rules() -> list[tuple[str, Column]]:
 
     mean = share("word_chars", "n_words")
     return [
-        ("length", vote(F.col("n_words") >= 50, F.col("n_words") < 20)),
+        ("length", vote(F.col("n_words") >= 100, F.col("n_words") < 50)),
         ("word_size", vote(mean.between(2.5, 9), ~mean.between(1.5, 14))),
         ("symbols", vote(share("n_symbols", "n_words") < 0.1, share("n_symbols", "n_words") > 0.3)),
         ("dup_lines", vote(share("n_dup_lines", "n_lines") < 0.1, share("n_dup_lines", "n_lines") > 0.5)),
         ("repeats", vote(share("n_repeat_words", "n_words") < 0.1, share("n_repeat_words", "n_words") > 0.3)),
         ("capitals", vote(share("n_caps", "n_words") < 0.15, share("n_caps", "n_words") > 0.5)),
         ("ends", vote(share("n_ends", "n_lines") >= 0.5, (F.col("n_lines") >= 3) & (share("n_ends", "n_lines") < 0.1))),
+        ("letter_words", vote(share("n_letter_words", "n_words") >= 0.95, share("n_letter_words", "n_words") < 0.8)),
+        ("letters", vote(share("n_letters", "word_chars") >= 0.9, share("n_letters", "word_chars") < 0.75)),
     ]
 
 
-#: What is believed before any vote is seen, and how many votes that counts for, as a share of all rows.
-PRIOR, GOOD, BAD, BELIEF = 0.85, 0.995, 0.8, 0.1
-#: A rule votes bad on one good document in a hundred at most; else its two error rates could change places.
-LEAST_GOOD = 0.99
+#: Where BELIEF votes of no document draw the estimates: P(good), P(votes good | good), P(votes good | bad).
+PRIOR, GOOD, BAD, BELIEF = 0.8, 0.9, 0.5, 20.0
+#: How sure the start is that a document with fewer than two bad votes is good, and one with more is not.
+START = 0.9
 
 
-def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 300) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
     """Prior of good and, per rule, P(votes good | good) and P(votes good | bad), from vote patterns with their counts.
 
-    Expectation-maximisation on two classes; abstaining says nothing. Estimates start
-    from, and are drawn towards, PRIOR, GOOD and BAD.
+    Expectation-maximisation on two classes; abstaining says nothing. It starts from the
+    documents, those with two bad votes or more being bad. All rules are held alike, and
+    how often each errs in either class is what the votes say: a rule whose bad votes
+    come alone turns out weak, one whose bad votes come with others' strong.
     """
     m = len(patterns[0][0]) if patterns else 0
     if not m:
         return 0.5, np.zeros(0), np.zeros(0)
     votes = np.array([[-1 if v is None else v for v in p] for p, _ in patterns])
     counts = np.array([c for _, c in patterns], float)
-    total, belief = counts.sum(), BELIEF * counts.sum()
-    prior, good, bad = PRIOR, np.full(m, GOOD), np.full(m, BAD)
+    cast, yes = (votes >= 0).astype(float), (votes == 1).astype(float)
+    q, before = np.where((votes == 0).sum(1) < 2, START, 1 - START), np.zeros(2 * m + 1)
     for _ in range(rounds):
-        q = posterior(votes, prior, good, bad)
-        before = prior, good.copy(), bad.copy()
-        prior = float(np.clip((counts @ q + belief * PRIOR) / (total + belief), 0.05, 0.99))
-        for j in range(m):
-            cast, yes = votes[:, j] >= 0, votes[:, j] == 1
-            a, b = counts * q, counts * (1 - q)
-            good[j] = (a[yes].sum() + belief * PRIOR * GOOD) / (a[cast].sum() + belief * PRIOR)
-            bad[j] = (b[yes].sum() + belief * (1 - PRIOR) * BAD) / (b[cast].sum() + belief * (1 - PRIOR))
-        good = np.clip(good, LEAST_GOOD, 0.9995)
-        bad = np.clip(bad, 0.001, good - 0.02)
-        if abs(prior - before[0]) + np.abs(good - before[1]).sum() + np.abs(bad - before[2]).sum() < 1e-9:
+        prior = float((counts @ q + BELIEF * PRIOR) / (counts.sum() + BELIEF))
+        a, b = counts * q, counts * (1 - q)
+        good, bad = (a @ yes + BELIEF * GOOD) / (a @ cast + BELIEF), (b @ yes + BELIEF * BAD) / (b @ cast + BELIEF)
+        now = np.r_[prior, good, bad]
+        if np.abs(now - before).sum() < 1e-10:
             break
+        before, q = now, posterior(votes, prior, good, bad)
     return prior, good, bad
 
 
