@@ -3,101 +3,88 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Turns of one part that one row holds at most.
-TURNS = 256
+from seriesloom.functions.ranks import running_before
+from seriesloom.llm.common import materialize
 
+PARTS = ("prompt", "chosen", "rejected")
 
-def render(role: Column, text: Column) -> Column:
-    """One turn as text, between role marks; a null role or text renders as empty."""
+
+def render(turn: Column) -> Column:
+    """One turn (turn, role, text) as text, between role marks."""
+    return F.concat(F.lit("<|"), turn.role, F.lit("|>\n"), turn.text, F.lit("\n"))
+
+
+def conversations_of(turns: DataFrame, id_col: str) -> DataFrame:
+    """(pair_id, turns): the different turns of each id in the order of (turn, role, text).
+
+    Rows with a null id or turn take no part; a null role or text is an empty one.
+    Repeated turns are dropped before they are shuffled.
+    """
     none = F.lit("")
-    return F.concat(F.lit("<|"), F.coalesce(role, none), F.lit("|>\n"), F.coalesce(text, none), F.lit("\n"))
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), none).alias("role"), F.coalesce(F.col("text").cast("string"), none).alias("text"))
+    rows = turns.where(F.col(id_col).isNotNull() & F.col("turn").isNotNull()).select(F.col(id_col).cast("long").alias("pair_id"), turn.alias("t"))
+    return rows.groupBy("pair_id").agg(F.array_sort(F.collect_set("t")).alias("turns"))
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Segments of each pair from two tables (pair_id, turn, role, text).
-
-    The turns of a side, in the order of (turn, role, text), are compared with those of
-    the other side; all before the first turn that only one side has are the longest
-    common prefix and come out once, as part ``prompt`` with mask 0. What follows comes
-    out as parts ``chosen`` and ``rejected``; there assistant turns have mask 1 (they
-    count for the loss) and others 0. Columns: pair_id, part, turn, role, text,
-    rendered, mask.
-
-    The prefix end is a partial minimum per pair, so that no conversation is gathered
-    into one list, however long it is. A side that is missing altogether leaves all
-    turns of the other as its completion. Equal sides leave only a prompt. Turns
-    repeated in full count once; turns that share their number stand in the order of
-    role and text. Rows with a null pair_id or turn take no part. Other columns are not
-    read.
+def paired(sides: DataFrame) -> DataFrame:
+    """One row per row of ``sides`` (pair_id, c, r: the turns of both sides, sorted and each once): its prompt and completions.
+
+    The longest common prefix of the turns is rendered once, as ``prompt``; what follows
+    it as ``chosen`` and ``rejected``. For these, ``_mask`` has 1 per assistant turn (it
+    counts for the loss) and 0 per other turn, and ``_chars`` the characters of each
+    rendered turn, so that masks can be laid over the text.
     """
-    turn = [F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
-    side = lambda df, c: df.where("pair_id IS NOT NULL AND turn IS NOT NULL").select(
-        "pair_id", *turn, F.lit(c).alias("c"), F.lit(1 - c).alias("r")
-    )
-    turns = side(chosen, 1).unionByName(side(rejected, 0))
-    seen = turns.groupBy("pair_id", "turn", "role", "text").agg(F.max("c").alias("c"), F.max("r").alias("r"))
-    place = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    first = seen.groupBy("pair_id").agg(F.min(F.when(F.col("c") + F.col("r") == 1, place)).alias("first"))
-    split = seen.join(first, "pair_id").withColumn("prompt", F.coalesce(place < F.col("first"), F.lit(True)))
-    parts = F.when(F.col("prompt"), F.array(F.lit("prompt"))).otherwise(
-        F.array_compact(F.array(F.when(F.col("c") == 1, F.lit("chosen")), F.when(F.col("r") == 1, F.lit("rejected"))))
-    )
-    out = split.withColumn("part", F.explode(parts))
-    counted = (F.col("part") != "prompt") & F.coalesce(F.col("role") == "assistant", F.lit(False))
-    return out.select("pair_id", "part", "turn", "role", "text", render(F.col("role"), F.col("text")).alias("rendered"), counted.cast("int").alias("mask"))
-
-
-def examples(segments: DataFrame) -> DataFrame:
-    """One row per pair: its prompt, chosen and rejected texts and, per completion, its turns' masks and lengths.
-
-    Columns: pair_id, block, piece, prompt, chosen, rejected, and for both completions
-    ``<part>_mask`` (1 or 0 per turn) and ``<part>_chars`` (characters per rendered turn,
-    so that masks can be laid over the text). A part without turns is an empty text with
-    empty lists. A pair has further rows if its turn numbers pass TURNS (``block``, the
-    number divided by TURNS) or a part has more than TURNS turns within a block
-    (``piece``); their texts follow on one another, so that no conversation is gathered
-    as a whole, however long it is.
+    same = F.zip_with("c", "r", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    first = F.array_position(same, F.lit(False)).cast("int")  # 0 where the sides are equal
+    rows = sides.withColumn("shared", F.when(first == 0, F.size("c")).otherwise(first - 1))
+    rest = lambda c: F.slice(c, F.col("shared") + 1, F.greatest(F.size(c) - F.col("shared"), F.lit(0)))
+    rows = rows.select("pair_id", F.slice("c", F.lit(1), F.col("shared")).alias("prompt"), rest("c").alias("chosen"), rest("r").alias("rejected"))
+    out = [F.array_join(F.transform(p, render), "").alias(p) for p in PARTS]
+    for p in PARTS[1:]:
+        out += [F.transform(p, lambda t: (t.role == "assistant").cast("int")).alias(f"{p}_mask"), F.transform(p, lambda t: F.char_length(render(t))).alias(f"{p}_chars")]
+    return rows.select("pair_id", *out)
+
+
+def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row per pair of two turn tables (pair_id, turn, role, text): pair_id and the columns of ``paired``.
+
+    Turns of a side stand in the order of (turn, role, text); turns repeated in full count
+    once, a null role or text is an empty one. A side that is missing altogether leaves
+    all turns of the other as its completion; equal sides leave only a prompt. Rows with a
+    null pair_id or turn take no part. A pair is one row however many turns it has, and
+    texts are rendered whole, however long; the row takes what its own texts take. Empty
+    tables give an empty result. Other columns are not read, whatever their names.
     """
-    block = F.floor(F.col("turn") / TURNS).cast("long").alias("block")
-    none = F.lit("")
-    # both the numbering and the grouping find their rows dealt by pair and block
-    rows = segments.select("pair_id", block, "part", "turn", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text"), "rendered", "mask")
-    rows = rows.repartition("pair_id", "block")
-    place = F.row_number().over(W.partitionBy("pair_id", "block", "part").orderBy("turn", "role", "text")) - 1
-    rows = rows.withColumn("piece", F.floor(place / TURNS).cast("long"))
-    turn = F.struct("turn", "role", "text", "rendered", "mask")
-    parts = ("prompt", "chosen", "rejected")
-    rows = rows.groupBy("pair_id", "block", "piece").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in parts])
-    out = [F.concat_ws("", F.col(f"{p}.rendered")).alias(p) for p in parts]
-    for p in parts[1:]:
-        out += [F.col(f"{p}.mask").alias(f"{p}_mask"), F.transform(F.col(f"{p}.rendered"), F.char_length).alias(f"{p}_chars")]
-    return rows.select("pair_id", "block", "piece", *out)
-
-
-def swapped_reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Preference pairs from plain conversations: (chosen, rejected) turn tables with pair_id = conv_id.
+    c, r = conversations_of(chosen, "pair_id").withColumnRenamed("turns", "c"), conversations_of(rejected, "pair_id").withColumnRenamed("turns", "r")
+    none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
+    return paired(c.join(r, "pair_id", "full").select("pair_id", F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r")))
+
+
+def swapped_replies(conversations: DataFrame) -> DataFrame:
+    """(pair_id, c, r) from plain conversations (conv_id, turn, role, text), for ``paired``.
 
     Chosen is the conversation as it is; rejected is the same with its last assistant
-    reply replaced by that of the next conversation id (empty where that id has none).
-    Turns after the last reply stand in both. A conversation without a reply is equal on
-    both sides. Rows with a null conv_id or turn take no part; repeated rows count once.
+    reply replaced by that of the next id that has a reply, and after the last id by that
+    of the first. Turns after the last reply stand in both. A conversation without a
+    reply is equal on both sides. Nulls and repeated rows as in ``format_preferences``.
     """
-    turns = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(
-        F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
-    )
-    replies = turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("reply"))
-    other = replies.select((F.col("pair_id") - 1).alias("pair_id"), F.col("reply").alias("other"))
-    swap = replies.select("pair_id", "last").join(other, "pair_id", "left")
-    is_last = (F.col("turn") == F.col("last")) & (F.col("role") == "assistant")
-    text = F.when(is_last, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text")
-    return turns, turns.join(swap, "pair_id", "left").select("pair_id", "turn", "role", text)
+    talks = materialize(conversations_of(conversations, "conv_id"))
+    said = F.filter("turns", lambda t: t.role == "assistant")
+    last = F.try_element_at(said, F.lit(-1))  # of several at one turn the largest text
+    ids = running_before(talks.where(F.size(said) > 0).select("pair_id"), [F.col("pair_id")], {"place": F.lit(1)})
+    n = ids.count()
+    following = ids.select("pair_id", F.pmod(F.col("place") + 1, F.lit(max(n, 1))).alias("place")).join(ids.select(F.col("pair_id").alias("next_id"), "place"), "place")
+    replies = talks.where(F.size(said) > 0).select(F.col("pair_id").alias("next_id"), last.text.alias("other"))
+    other = replies.join(following.select("pair_id", "next_id"), "next_id").select("pair_id", "other")
+    swap = lambda t: F.when((t.turn == last.turn) & (t.role == "assistant"), F.struct(t.turn.alias("turn"), t.role.alias("role"), F.col("other").alias("text"))).otherwise(t)
+    swapped = F.when(F.col("other").isNull(), F.col("turns")).otherwise(F.array_sort(F.array_distinct(F.transform("turns", swap))))
+    return talks.join(other, "pair_id", "left").select("pair_id", F.col("turns").alias("c"), swapped.alias("r"))
 
 
 def op10_chat(conversations: DataFrame) -> DataFrame:
-    """One row per pair (see ``examples``); the lists of masks and lengths are joined to texts."""
-    rows = examples(format_preferences(*swapped_reply_pairs(conversations)))
+    """One row per conversation (see ``paired``); the lists of masks and lengths are joined to texts."""
+    rows = paired(swapped_replies(conversations))
     joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in rows.columns if c.endswith(("_mask", "_chars"))]
-    return rows.select("pair_id", "block", "piece", "prompt", "chosen", "rejected", *joined)
+    return rows.select("pair_id", *PARTS, *joined)

@@ -53,25 +53,23 @@ SELECT o.doc_id, o.size, b.source_size, b.target, (b.epochs * o.size + greatest(
 FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source"""
 
 _CHAT = """
-WITH t AS (SELECT DISTINCT conv_id::BIGINT AS pair_id, turn::BIGINT AS turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH t AS (SELECT DISTINCT conv_id::BIGINT AS pair_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 l AS (SELECT pair_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY 1),
 rep AS (SELECT l.pair_id, l.last, max(t.text) AS reply FROM l JOIN t ON t.pair_id = l.pair_id AND t.turn = l.last AND t.role = 'assistant' GROUP BY ALL),
-two AS (SELECT t.*, CASE WHEN t.turn = l.last AND t.role = 'assistant' THEN coalesce(o.reply, '') ELSE t.text END AS other
-  FROM t LEFT JOIN l ON l.pair_id = t.pair_id LEFT JOIN rep o ON o.pair_id = t.pair_id + 1),
-sides AS (SELECT pair_id, turn, role, text, 1 AS c, 0 AS r FROM two UNION ALL SELECT pair_id, turn, role, other, 0, 1 FROM two),
-m AS (SELECT pair_id, turn, role, text, max(c) AS c, max(r) AS r, struct_pack(a := turn, b := coalesce(role, ''), c := coalesce(text, '')) AS place FROM sides GROUP BY ALL),
+nxt AS (SELECT pair_id, last, coalesce(lead(reply) OVER w, first_value(reply) OVER w) AS other FROM rep WINDOW w AS (ORDER BY pair_id)),
+two AS (SELECT t.*, CASE WHEN t.turn = n.last AND t.role = 'assistant' THEN n.other ELSE t.text END AS swapped FROM t LEFT JOIN nxt n ON n.pair_id = t.pair_id),
+sides AS (SELECT pair_id, turn, role, text, 1 AS c, 0 AS r FROM two UNION ALL SELECT pair_id, turn, role, swapped, 0, 1 FROM two),
+m AS (SELECT pair_id, turn, role, text, max(c) AS c, max(r) AS r, struct_pack(a := turn, b := role, c := text) AS place FROM sides GROUP BY ALL),
 f AS (SELECT pair_id, min(place) AS first FROM m WHERE c + r = 1 GROUP BY 1),
 p AS (SELECT m.*, coalesce(place < first, true) AS prompt FROM m LEFT JOIN f USING (pair_id)),
 x AS (SELECT *, 'prompt' AS part FROM p WHERE prompt UNION ALL SELECT *, 'chosen' FROM p WHERE NOT prompt AND c = 1 UNION ALL SELECT *, 'rejected' FROM p WHERE NOT prompt AND r = 1),
-y AS (SELECT pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, part, CAST(floor(turn / 256.0) AS BIGINT) AS block,
-  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS rendered, CASE WHEN part <> 'prompt' AND role = 'assistant' THEN '1' ELSE '0' END AS mask FROM x),
-z AS (SELECT *, (row_number() OVER (PARTITION BY pair_id, block, part ORDER BY turn, role, text) - 1) // 256 AS piece FROM y)
-SELECT pair_id, block, CAST(piece AS BIGINT) AS piece, """ + ", ".join(
+z AS (SELECT pair_id, turn, role, text, part, '<|' || role || '|>' || chr(10) || text || chr(10) AS rendered, CASE WHEN part <> 'prompt' AND role = 'assistant' THEN '1' ELSE '0' END AS mask FROM x)
+SELECT pair_id, """ + ", ".join(
     f"coalesce(string_agg({value}, '{between}' ORDER BY turn, role, text) FILTER (WHERE part = '{part}'), '') AS {part}{name}"
     for part, names in (("prompt", ("",)), ("chosen", ("", "_mask", "_chars")), ("rejected", ("", "_mask", "_chars")))
     for name, value, between in (("", "rendered", ""), ("_mask", "mask", ","), ("_chars", "CAST(length(rendered) AS VARCHAR)", ","))
     if name in names
-) + " FROM z GROUP BY pair_id, block, piece"
+) + " FROM z GROUP BY pair_id"
 
 _NEGATIVES = """
 WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
