@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,12 +22,31 @@ WINDOW, END = 2048, 1
 WIDE = re.compile(r" (?:\s|\Z)")
 #: Open windows a partition keeps at most.
 OPEN = 256
-#: Chunks whose ids a worker remembers at most.
-MEMORY = 600_000
+#: Bytes that a worker spends on remembered chunks at most, and the characters of a chunk worth remembering.
+MEMORY, LONG = 128 << 20, 48
 #: Partitions whose leftover windows one task merges.
 MERGED = 32
 
 
+class Known(dict):
+    """Ids of chunks, encoded once and forgotten when they take more than MEMORY bytes; LONG ones are not kept."""
+
+    def __init__(self, ranks) -> None:
+        super().__init__()
+        self.ranks, self.held = ranks, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        data = array("I", self.ranks.encode_ordinary(chunk)).tobytes()
+        if len(chunk) <= LONG:
+            size = sys.getsizeof(chunk) + sys.getsizeof(data) + 100  # and its place in the table
+            if self.held + size > MEMORY:
+                self.clear()
+                self.held = 0
+            self[chunk] = data
+            self.held += size
+        return data
+
+
 class Encoder:
     """Little-endian 32-bit ids of a text, put together from remembered chunks.
 
@@ -39,7 +59,7 @@ class Encoder:
         self.tokenizer = load(path)
         self.special = added_strings(self.tokenizer)
         self.ranks = rank_encoder(self.tokenizer)
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.ranks)
 
     def pieces(self, text: str) -> list[str]:
         parts = text.split(" ")
@@ -66,15 +86,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         given = lambda t: array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
         whole = [self.ranks is None or (self.special is not None and self.special.search(t)) for t in texts]
-        tables = [[] if w else self.chunks(t) for t, w in zip(texts, whole)]
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for table in tables:
-            for chunk in table:
-                if chunk not in known:
-                    known[chunk] = array("I", self.ranks.encode_ordinary(chunk)).tobytes()
-        return [given(t) if w else b"".join(map(known.__getitem__, c)) for t, w, c in zip(texts, whole, tables)]
+        return [given(t) if w else b"".join(map(self.known.__getitem__, self.chunks(t))) for t, w in zip(texts, whole)]
 
 
 class Shelf:
@@ -152,9 +164,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     windows; the rest is placed best-fit among ``space`` open windows of its partition,
     and where none has room the fullest is closed and a new one opened. The windows still
     open when their partition ends are its leftovers: those of MERGED partitions, largest
-    first, are put together the same way, which shifts offsets but cuts nothing. A null or empty text is one piece of one id. Repeated rows
-    each get their pieces; an empty table gives an empty result; other columns are not
-    read.
+    first, are put together the same way, which shifts offsets but cuts nothing.
+
+    A null or empty text is one piece of one id. Texts of any length are encoded whole,
+    one at a time; what a worker remembers is bounded in bytes. Repeated rows each get
+    their pieces; an empty table gives an empty result; other columns are not read.
     """
     named = ", ".join(f"{c} long" for c in PIECE)
     pieces = materialize(id_and_text(docs, id_col, text_col).mapInArrow(_pieces(path, window, space), named))
