@@ -22,7 +22,8 @@ MEMORY = 400_000
 
 
 def word_features(word: str) -> list[str]:
-    """Features of a lower-case word: itself, and its first 4, 5 and 6 characters for what its forms share."""
+    """Features of a word: itself in lower case, and its first 4, 5 and 6 characters for what its forms share."""
+    word = word.lower()
     return [word, *(word[:n] + "~" for n in (4, 5, 6) if len(word) >= n)]
 
 
@@ -42,10 +43,10 @@ class WordScores(dict):
 
 def sentence_scores(text: str, scores: WordScores) -> list[tuple[int, int, float]]:
     """(start, end, summed word scores) of each sentence with a word, as character offsets."""
-    found, at, low = [], 0, text.lower()
-    ends = [*((m.start(), m.end()) for m in SENTENCE.finditer(low)), (len(low), len(low))]
+    found, at = [], 0  # lowering a whole text could move its places
+    ends = [*((m.start(), m.end()) for m in SENTENCE.finditer(text)), (len(text), len(text))]
     for stop, after in ends:
-        if words := TOKEN.findall(low, at, stop):
+        if words := TOKEN.findall(text, at, stop):
             found.append((at, stop, sum(map(scores.__getitem__, words))))
         at = after
     return found
@@ -65,7 +66,7 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per labelled document the features that it has."""
     for batch in slices(batches):
         _, texts = rows_of(batch)
-        found = [list({f for w in set(TOKEN.findall(t.decode("utf-8", "replace").lower())) for f in word_features(w)}) for t in texts]
+        found = [list({f for w in set(TOKEN.findall(t.decode("utf-8", "replace"))) for f in word_features(w)}) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.list_(pa.string()))], ["label", "features"])
 
 
@@ -88,8 +89,10 @@ def telling_features(rows: DataFrame, most: int = MOST_FEATURES) -> list[str]:
     return [r.f for r in best.select("f").collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col: str = "doc_id", text_col: str = "text", most_labels: int = MOST_LABELS) -> tuple[dict[str, float], float]:
-    """Feature weights and bias learned from at most ``most_labels`` labelled documents, the smallest text of each id.
+def train(
+    docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col: str = "doc_id", text_col: str = "text", most_labels: int = MOST_LABELS, most_features: int = MOST_FEATURES
+) -> tuple[dict[str, float], float]:
+    """Weights of at most ``most_features`` features and bias learned from at most ``most_labels`` labelled documents, the smallest text of each id.
 
     Every round, each part descends from the shared weights over its own documents and
     the driver averages the parts: a fixed number of vectors of bounded size, whatever
@@ -101,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col:
     # rows of one id give one text, so that the bound on ids bounds the rows; sorted, so that reruns learn alike
     rows = id_and_text(docs, id_col, text_col).join(ids, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     rows = materialize(rows.select("id", "text", "label").repartition(PARTS, "id").sortWithinPartitions("id"))
-    names = telling_features(rows)
+    names = telling_features(rows, most_features)
     sc = docs.sparkSession.sparkContext
     place = sc.broadcast({f: i for i, f in enumerate(names)})
 
@@ -112,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, trainable, id_col:
             flat, counts = [], []
             for text in texts:
                 ids, sizes = [len(number)], [1]  # the leak: the constant feature alone
-                for sentence in SENTENCE.split(text.decode("utf-8", "replace").lower()):
+                for sentence in SENTENCE.split(text.decode("utf-8", "replace")):
                     own = [number[f] for w in TOKEN.findall(sentence) for f in word_features(w) if f in number]
                     if own:
                         ids.extend([*own, len(number)])
@@ -193,7 +196,11 @@ def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pipeline stage: documents scored below 0.5 stay, with all their columns; null and empty texts stay."""
+    """Pipeline stage: documents scored below 0.5 stay, with all their columns, whatever their names.
+
+    Null and empty texts stay. Whole texts count, however long; repeated rows are judged
+    alike, and an empty table gives an empty one.
+    """
     weights, bias = train(docs, labels, "toxic", ~held_out("doc_id", 5, 0))
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
     at = docs.columns.index("text")
