@@ -25,9 +25,19 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: JSON that tells any two values of a column apart: times to the nanosecond, nulls written out.
+EXACT_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS"}
+
+
 def row_key(docs: DataFrame):
-    """What tells rows apart: a digest of all columns, so that only rows alike in every column share it."""
-    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}))
+    """What tells rows apart: digests of all columns, so that only rows alike in every column share it.
+
+    One digest is of the columns written out in full, the other of the columns
+    themselves, where writing could lose something (text that is no valid UTF-8).
+    """
+    written = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    return F.concat(F.md5(F.to_json(F.struct(*written), EXACT_JSON)), F.hex(F.xxhash64(F.lit(0), *hashed)))
 
 
 def unused(docs: DataFrame, name: str) -> str:
