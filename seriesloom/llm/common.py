@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.checkpoints import materialize, shared_folder
 
-__all__ = ["WORD", "bounded_labels", "held_out", "id_and_text", "materialize", "read", "row_key", "rows_of", "shared_folder", "slices", "unused"]
+__all__ = ["WORD", "bounded_labels", "held_out", "id_and_text", "materialize", "read", "remove_folder", "row_key", "rows_of", "shared_folder", "slices", "unused"]
 
 #: A word is a run of anything but the space and the control characters 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,12 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of an intermediate result, wherever Spark keeps it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: JSON that tells any two values of a column apart: times to the nanosecond, nulls written out.
 EXACT_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS"}
 

@@ -119,7 +119,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Documents without words have nothing to take and go; a null doc_id or one of several
     rows is no reason to. Times belong to the row, told apart by ``row_key``: rows alike
-    in every column are one row that comes as often as all of them are taken.
+    in every column are one row that comes as often as all of them are taken. Whole texts
+    count, however long; an empty table gives an empty one; columns may have any names.
     """
     times = mix(docs, row=row_key(docs)).where("taken > 0")
     own, often, several, copy = (unused(docs, c) for c in ("_row", "_times", "_rows", "_copy"))

@@ -140,17 +140,16 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before = np.empty(n, np.int64)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
-    prior = np.roll(before, 0)
     follows = np.zeros(n, bool)
-    follows[1:] = (prior[1:] > 0) & (prior[:-1] >= 0)
+    follows[1:] = (before[1:] > 0) & (before[:-1] >= 0)
     at = np.flatnonzero(follows)
-    follows[at] = s[at - 1] == s[prior[at] - 1]
+    follows[at] = s[at - 1] == s[before[at] - 1]
     # the neighbour must have been compared with the very position before ours
     at = np.flatnonzero(follows)
-    follows[at] = prior[at - 1] == prior[at] - 1
+    follows[at] = before[at - 1] == before[at] - 1
     share = np.zeros(n, np.int64)
-    start = np.flatnonzero(~follows & (prior >= 0))
-    a, b, size = start, prior[start], np.zeros(len(start), np.int64)
+    start = np.flatnonzero(~follows & (before >= 0))
+    a, b, size = start, before[start], np.zeros(len(start), np.int64)
     live = np.arange(len(start))
     word = np.lib.stride_tricks.as_strided(np.append(s, np.zeros(8, np.uint8)), (n, 8), (1, 1))
     long = np.ascontiguousarray(word).view("<u8").ravel()

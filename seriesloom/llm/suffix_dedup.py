@@ -390,7 +390,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Such a passage also stands elsewhere byte by byte, and has PASSAGE_BYTES bytes or more
     (``op3_suffix_dedup``'s 400 bytes are for its own query alone: they are over 60 words
     of common prose). Documents of which nothing but white space is left go; null texts
-    and empty ones stay. Cuts lie between words.
+    and empty ones stay. Cuts lie between words. Whole texts count, however long; a text
+    that several rows share loses all of itself; an empty table gives an empty one, and
+    columns may have any names.
     """
     spans = repeated_spans(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS + 1, gram=PASSAGE_GRAM).where("n_removed > 0").select("sha", "spans")
     own_sha, own_spans = unused(docs, "own_sha"), unused(docs, "own_spans")

@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 
 from seriesloom.llm import mixing, toxicity
-from seriesloom.llm.common import held_out
+from seriesloom.llm.common import held_out, row_key
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +114,30 @@ def test_nothing_in_nothing_out(spark, hard, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{hard[0]}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_differ_anywhere_are_told_apart(spark):
+    """Times by a microsecond, zeros by their sign, nulls from NaN, decimals, binaries and maps: all rows survive mixing."""
+    one = "CAST(0 AS LONG) AS doc_id, 'some words here' AS text, 'en' AS lang, 'src0' AS source, CAST(15 AS LONG) AS n_chars"
+    columns = {
+        "at": ["TIMESTAMP'2024-01-01 00:00:00.000001'", "TIMESTAMP'2024-01-01 00:00:00.000002'", "CAST(NULL AS TIMESTAMP)"],
+        "plain": ["TIMESTAMP_NTZ'2024-01-01 00:00:00.000001'", "TIMESTAMP_NTZ'2024-01-01 00:00:00.000002'", "CAST(NULL AS TIMESTAMP_NTZ)"],
+        "x": ["0.0D", "-0.0D", "CAST('NaN' AS DOUBLE)", "CAST(NULL AS DOUBLE)"],
+        "d": ["CAST(0.1 AS DECIMAL(38, 20))", "CAST(0.10000000000000000001 AS DECIMAL(38, 20))"],
+        "b": ["X'00'", "X'0000'", "CAST(NULL AS BINARY)"],
+        "a": ["ARRAY(1, NULL)", "ARRAY(NULL, 1)", "ARRAY(1)", "CAST(NULL AS ARRAY<INT>)"],
+        "m": ["MAP('k', 1)", "MAP('k', CAST(NULL AS INT))", "CAST(MAP() AS MAP<STRING, INT>)"],
+    }
+    for name, values in columns.items():
+        docs = spark.sql(" UNION ALL ".join(f"SELECT {one}, {v} AS {name}" for v in values))
+        assert docs.select(row_key(docs)).distinct().count() == len(values), name
+        took = mixing.mixed_documents(docs)
+        assert took.count() == mixing.mix(docs).selectExpr("CAST(sum(floor(taken / size + 0.5)) AS INT)").first()[0] >= len(values), name
+
+
+def test_results_between_stages_are_deleted(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: str(tmp_path))
+    out = corpus_pipeline.run(spark, tables)
+    assert out.count() > 0
+    (folder,) = tmp_path.iterdir()
+    assert [p.name for p in folder.iterdir()] == [str(len(corpus_pipeline.STAGES) - 1)]
