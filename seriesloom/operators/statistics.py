@@ -37,19 +37,34 @@ def _centred(v: Column, p: int, w) -> Column:
     return (total - 0.5 * (F.lag(v, h).over(w) + F.lead(v, h).over(w))) / p
 
 
-def decompose_columns(df: DataFrame, keys: Sequence[str], date_col: str, value: str, period: Column | int, periods: Sequence[int]) -> DataFrame:
+def _centred_from_sums(v: Column, p: int, w) -> Column:
+    """``_centred`` from the differences of running sums ``_sum`` and counts ``_seen``, whatever the period: a row looks at four others."""
+    h = p // 2
+    inside = lambda c: F.lead(c, h).over(w) - F.coalesce(F.lag(c, h + 1).over(w), F.lit(0))
+    total = F.when(inside("_seen") > 0, inside("_sum"))
+    if p % 2:
+        return total / p
+    return (total - 0.5 * (F.lag(v, h).over(w) + F.lead(v, h).over(w))) / p
+
+
+def decompose_columns(df: DataFrame, keys: Sequence[str], date_col: str, value: str, period: Column | int, periods: Sequence[int], sums: bool = False) -> DataFrame:
     """Adds _trend, _seasonal and _resid of the classical additive decomposition with a period that may differ by series.
 
     Frames need fixed bounds, so each candidate period has its own centred sum in the
-    same window and a CASE picks one. All windows of the series share one sort.
+    same window and a CASE picks one. All windows of the series share one sort. With
+    ``sums`` no frame is added up per row: centred sums are differences of running ones,
+    for periods of many rows.
     """
     w = ordered(keys, date_col)
     p = F.lit(period) if isinstance(period, int) else period
     out = df.withColumns({"_pos": F.row_number().over(w) - 1, "_n": F.count("*").over(W.partitionBy(*keys)), "_p": p})
+    if sums:
+        out = out.withColumns({"_sum": F.coalesce(F.sum(value).over(upto(keys, date_col)), F.lit(0.0)), "_seen": F.count(value).over(upto(keys, date_col))})
+    centred = _centred_from_sums if sums else _centred
     trend = F.lit(None).cast("double")
     for k in periods:
         inside = (F.col("_pos") >= k // 2) & (F.col("_pos") < F.col("_n") - k // 2)
-        trend = F.when((F.col("_p") == k) & inside, _centred(F.col(value), k, w)).otherwise(trend)
+        trend = F.when((F.col("_p") == k) & inside, centred(F.col(value), k, w)).otherwise(trend)
     out = out.withColumn("_trend", trend)
     out = out.withColumn("_phase", F.col("_pos") % F.col("_p")).withColumn("_detr", F.col(value) - F.col("_trend"))
     phase = W.partitionBy(*keys, "_phase")
@@ -94,15 +109,28 @@ def cov(df: DataFrame, group_cols: str | Sequence[str], date_col: str, value: st
     return attach(df, dispersion(df, keys, date_col, value, mode), keys, f"feature_{value}_cov", 0.0)
 
 
-def decomposition(df: DataFrame, group_cols: str | Sequence[str], date_col: str, value: str, period: int = 7) -> DataFrame:
+def inferred_period(gap: Column) -> Column:
+    """The period that goes with a median gap in days: a week of days, a year of weeks or of months, else 7."""
+    days = F.floor(gap)
+    return F.when(days == 7, 52).when(days.between(28, 31), 12).otherwise(7).cast("int")
+
+
+def decomposition(df: DataFrame, group_cols: str | Sequence[str], date_col: str, value: str, period: int | None = None) -> DataFrame:
     """``feature_trend_<value>`` and ``feature_seasonal_<value>`` per series, carried to its ends.
 
+    Without a ``period`` each series gets its own, from the median gap between its dates
+    (``inferred_period``), so that a panel may mix daily, weekly and monthly series.
     Series shorter than two periods get NULL. Missing ends are filled forward, then
     backward, inside the series.
     """
     keys = names(group_cols)
-    parts = decompose_columns(df, keys, date_col, value, period, (period,))
-    long = F.col("_n") >= 2 * period
+    if period is None:
+        rows = df.withColumn("_gap", F.date_diff(date_col, F.lag(date_col).over(ordered(keys, date_col))))
+        rows = rows.withColumn("_period", inferred_period(F.percentile("_gap", F.lit(0.5)).over(W.partitionBy(*keys))))
+        parts = decompose_columns(rows, keys, date_col, value, F.col("_period"), (7, 12, 52), sums=True)
+    else:
+        parts = decompose_columns(df, keys, date_col, value, period, (period,))
+    long = F.col("_n") >= 2 * F.col("_p")
     back = ordered(keys, date_col).rowsBetween(0, W.unboundedFollowing)
     filled = {
         f"feature_{n}_{value}": F.when(long, F.coalesce(F.last(c, True).over(upto(keys, date_col)), F.first(c, True).over(back)))

@@ -398,6 +398,30 @@ def decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_suppkey", "date", *[rd(c, 7).alias(c) for c in ("feature_trend_filled_qty", "feature_seasonal_filled_qty")])
 
 
+_MIXED = f"""ev AS ({P.SQL['ev_d']}), ow AS ({P.SQL['orders_w']}), sm AS ({P.SQL['supp_m']}),
+raw AS (SELECT 'd ' || event_type AS series, date, n AS v FROM ev UNION ALL SELECT 'w ' || o_orderpriority || o_orderstatus, date, n_orders FROM ow UNION ALL SELECT 'm ' || l_suppkey, date, CAST(qty AS DOUBLE) FROM sm),
+gaps AS (SELECT *, date_diff('day', lag(date) OVER (PARTITION BY series ORDER BY date), date) AS gap FROM raw),
+mixed AS (SELECT series, date, v, floor(median(gap) OVER (PARTITION BY series)) AS g FROM gaps)"""
+
+
+def _carried(c: str) -> str:
+    w = "OVER (PARTITION BY series ORDER BY date ROWS BETWEEN"
+    return f"CASE WHEN n >= 2 * p THEN {rs(f'coalesce(last_value({c} IGNORE NULLS) {w} UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) {w} CURRENT ROW AND UNBOUNDED FOLLOWING))', 7)} END"
+
+
+@query(
+    f"""WITH {_MIXED}, {_decompose_sql('mixed', 'series', 'v', 'CASE WHEN g = 7 THEN 52 WHEN g BETWEEN 28 AND 31 THEN 12 ELSE 7 END', (7, 12, 52), 'dc')}
+SELECT series, date, {_carried('trend')} AS feature_trend_v, {_carried('seasonal')} AS feature_seasonal_v FROM dc"""
+)
+def decompose_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily, weekly and monthly series in one panel, each with the period that goes with its gaps."""
+    part = lambda df, kind, key, v: df.select(F.concat(F.lit(f"{kind} "), *key).alias("series"), "date", F.col(v).cast("double").alias("v"))
+    rows = part(P.ev_d(spark, sf_dir), "d", ["event_type"], "n").unionByName(part(P.orders_w(spark, sf_dir), "w", ["o_orderpriority", "o_orderstatus"], "n_orders"))
+    rows = rows.unionByName(part(P.supp_m(spark, sf_dir), "m", [F.col("l_suppkey").cast("string")], "qty"))
+    out = statistics.decomposition(rows, ["series"], "date", "v")
+    return out.select("series", "date", *[rd(c, 7).alias(c) for c in ("feature_trend_v", "feature_seasonal_v")])
+
+
 @query(
     f"""WITH panel AS ({P.SQL['part_m']}), v AS (SELECT l_partkey, date, qty FROM panel WHERE qty <> 0),
 {_decompose_sql('v', 'l_partkey', 'qty', 'CASE WHEN n > 7 THEN least(7, n // 2) ELSE 2 END', (2, 3, 4, 5, 6, 7), 'dc')},

@@ -101,6 +101,20 @@ def test_decomposition_stays_inside_its_series(spark):
     assert all(r.feature_trend_x is None for r in rows if r.k == "b")
 
 
+def test_each_series_has_the_period_of_its_gaps(spark):
+    """Running sums give what frames give, missing values included, and each series its own period."""
+    day = date(2020, 1, 1)
+    steps = {"days": [timedelta(i) for i in range(40)], "weeks": [timedelta(7 * i) for i in range(130)], "months": [timedelta(int(30.44 * i)) for i in range(50)], "odd": [timedelta(3 * i) for i in range(30)], "short": [timedelta(7 * i) for i in range(60)]}
+    rows = [(k, day + d, None if i % 11 == 5 else float(i + 10 * (i % 7) + i % 5)) for k, ds in steps.items() for i, d in enumerate(ds)]
+    df = spark.createDataFrame(rows, "k string, date date, x double")
+    got = {(r.k, r.date): (r.feature_trend_x, r.feature_seasonal_x) for r in statistics.decomposition(df, "k", "date", "x").collect()}
+    for k, p in (("days", 7), ("weeks", 52), ("months", 12), ("odd", 7)):
+        for r in statistics.decomposition(df.where(F.col("k") == k), "k", "date", "x", p).collect():
+            assert got[k, r.date] == pytest.approx((r.feature_trend_x, r.feature_seasonal_x), abs=1e-9)
+            assert r.feature_trend_x is not None
+    assert all(v == (None, None) for (k, _), v in got.items() if k == "short")
+
+
 def test_encoding_numbers_nulls_last(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "c string")
     assert sorted((str(r.c), r.feature_c) for r in features.encode(df, ["c"]).collect()) == [("None", 2), ("a", 0), ("b", 1), ("b", 1)]
