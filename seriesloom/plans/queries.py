@@ -712,6 +712,40 @@ for _model in models.MODELS:  # the parameters that go with the number of rows,
     _forecast(_model, {"numTrees": 40, "maxDepth": 10} if _model == "RF" else None)
 
 
+_GROUPED = f"""{_PERIODS}, g AS (SELECT l_suppkey, cutoff, date, sample, coalesce(qty, 0) AS y, feature_periods AS x, CAST(month(date) AS INT) AS m, l_suppkey % 3 AS grp FROM per),
+mid AS (SELECT cutoff, grp, avg(y) AS mean FROM g WHERE sample = 'train' GROUP BY ALL)"""
+
+
+def _grouped_backtest(spark: SparkSession, sf_dir: str, model: str, feature: str, params: dict) -> DataFrame:
+    """A model per cutoff and third of the suppliers."""
+    rows = features.periods(P.prepared(spark, sf_dir), SERIES, "date", "qty").withColumns({"feature_month": F.month("date"), "third": F.col("l_suppkey") % 3})
+    out = models.run_backtesting(rows, "l_suppkey", [feature], "qty", "third", model, params).frame
+    return out.select(*SERIES, "date", "sample", "training_group", rd("prediction", 4).alias("prediction"))
+
+
+@query(
+    f"""WITH {_GROUPED}, f AS (SELECT cutoff, grp, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM g WHERE sample = 'train' GROUP BY ALL)
+SELECT l_suppkey, cutoff, date, sample, CAST(grp AS INT) AS training_group, {rs('greatest(a + b * x, 0)', 4)} AS prediction FROM g JOIN f USING (cutoff, grp)"""
+)
+def backtest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped_backtest(spark, sf_dir, "LR", "feature_periods", {"regParam": 0.0})
+
+
+@query(
+    f"""WITH {_GROUPED}, r AS (SELECT g.*, y - mean AS e FROM g JOIN mid USING (cutoff, grp) WHERE sample = 'train'),
+h AS (SELECT cutoff, grp, m, sum(e) AS e, count(*) AS n FROM r GROUP BY ALL),
+c AS (SELECT cutoff, grp, m, sum(e) OVER w AS le, sum(n) OVER w AS ln, sum(e) OVER a AS te, sum(n) OVER a AS tn FROM h
+  WINDOW w AS (PARTITION BY cutoff, grp ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY cutoff, grp)),
+b AS (SELECT cutoff, grp, m AS edge, le / (ln + 3) AS low, (te - le) / (tn - ln + 3) AS high FROM c WHERE ln >= 20 AND tn - ln >= 20
+  QUALIFY row_number() OVER (PARTITION BY cutoff, grp ORDER BY le * le / (ln + 3) + (te - le) * (te - le) / (tn - ln + 3) DESC, m) = 1)
+SELECT l_suppkey, cutoff, date, sample, CAST(grp AS INT) AS training_group, {rs('greatest(mean + 0.5 * coalesce(CASE WHEN m <= edge THEN low ELSE high END, 0), 0)', 4)} AS prediction
+FROM g JOIN mid USING (cutoff, grp) LEFT JOIN b USING (cutoff, grp)"""
+)
+def backtest_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One boosted tree of two leaves, with an L2 term."""
+    return _grouped_backtest(spark, sf_dir, "LGBM", "feature_month", {"maxIter": 1, "num_leaves": 2, "stepSize": 0.5, "reg_lambda": 3.0})
+
+
 @query()
 def tune_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successive halving: rows grow to 3,000 while candidates shrink."""
