@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import json
 import urllib.request
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import suppress
+from dataclasses import dataclass
 from datetime import date
 from pathlib import PurePosixPath
+from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from seriesloom.checkpoints import materialize
 from seriesloom.functions.frequency import Frequency, frequency_params
 from seriesloom.operators.metrics import METRICS
 
@@ -84,30 +93,129 @@ def write_cutoff_statistics(stats: DataFrame, path: str, fmt: str = "csv") -> bo
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
-    """Replaces a table of a database that Spark has a driver for."""
-    df.write.jdbc(url, table, mode="overwrite", properties=properties or {})
+    """Replaces a table of a database that Spark has a driver for, all at once or not at all.
 
-
-def batches(rows: Iterable[Row], size: int) -> Iterator[list[dict]]:
+    Rows go to a staging table, each task's in a transaction of its own, so that a task
+    that fails leaves nothing behind. The staging table takes the place of ``table`` only
+    if it holds as many rows as there are; else it goes and ``table`` stays as it was.
+    """
+    spark, staging = df.sparkSession, f"{table}_{uuid.uuid4().hex[:8]}"
+    rows = materialize(df)  # counted and written from the same rows
+    jvm, given = spark._jvm, spark._jvm.java.util.Properties()
+    for k, v in (properties or {}).items():
+        given.setProperty(k, v)
+    dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+
+    def run(*statements: str) -> None:
+        """The first of the statements that the database knows."""
+        for i, sql in enumerate(statements):
+            made = connection.createStatement()
+            try:
+                made.execute(sql)
+                return
+            except Py4JJavaError:
+                if i == len(statements) - 1:
+                    raise
+            finally:
+                made.close()
+
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        rows.write.jdbc(url, staging, mode="error", properties=properties or {})
+        held = spark.read.jdbc(url, staging, properties=properties or {}).count()
+        if held != (wanted := rows.count()):
+            raise RuntimeError(f"{staging} holds {held} rows instead of {wanted}")
+        try:
+            run(dialect.getTableExistsQuery(table))
+        except Py4JJavaError:
+            pass  # there is none yet
+        else:
+            run(f"DROP TABLE {table}")
+        run(f"ALTER TABLE {staging} RENAME TO {table}", f"RENAME TABLE {staging} TO {table}")
+    except Exception:
+        with suppress(Py4JJavaError):  # it may not have come to be
+            run(f"DROP TABLE {staging}")
+        raise
+    finally:
+        connection.close()
+
+
+def batches(parts: Iterable[pa.RecordBatch], size: int) -> Iterator[list[dict]]:
+    """Rows of Arrow batches as lists of ``size`` records."""
     held: list[dict] = []
-    for row in rows:
-        held.append(row.asDict(recursive=True))
-        if len(held) == size:
-            yield held
-            held = []
+    for part in parts:
+        held += part.to_pylist()
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size:]
     if held:
         yield held
 
 
-def write_rest(df: DataFrame, url: str, headers: dict[str, str] | None = None, size: int = 1000, clear: bool = True) -> None:
-    """DELETE once, then POST the rows as JSON lists of ``size`` from the executors."""
+@dataclass
+class Sent(WriterCommitMessage):
+    """What one task has sent."""
+
+    batches: int
+    rows: int
+
+
+class RestWriter(DataSourceArrowWriter):
+    """POSTs each task's rows as JSON lists; every list has a key that is the same whenever its task runs again."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.url, self.load, self.size = options["url"], options["load"], int(options["size"])
+        self.headers = json.loads(options["headers"])
+
+    def _ask(self, method: str, body: Any, **headers: str) -> None:
+        data = None if body is None else json.dumps(body, default=str).encode()
+        urllib.request.urlopen(urllib.request.Request(self.url, data=data, headers=self.headers | headers, method=method)).close()
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Sent:
+        part, sent = TaskContext.get().partitionId(), Sent(0, 0)
+        for rows in batches(iterator, self.size):
+            self._ask("POST", rows, **{"Idempotency-Key": f"{self.load}-{part}-{sent.batches}"})
+            sent = Sent(sent.batches + 1, sent.rows + len(rows))
+        return sent
+
+    def commit(self, messages: list[Sent]) -> None:
+        """All tasks have sent their rows."""
+        if self.headers.get("X-Load"):
+            done = [m for m in messages if m]
+            self._ask("PUT", {"load": self.load, "batches": sum(m.batches for m in done), "rows": sum(m.rows for m in done)})
+
+    def abort(self, messages: list[Sent]) -> None:
+        """Some task failed for good: what the load has sent is to be forgotten."""
+        if self.headers.get("X-Load"):
+            self._ask("DELETE", None)
+
+
+class RestSink(DataSource):
+    """``df.write.format("rest_sink")`` with the options url, load, size and headers (JSON)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "rest_sink"
+
+    def writer(self, schema: Any, overwrite: bool) -> RestWriter:
+        return RestWriter({k: self.options[k] for k in ("url", "load", "size", "headers")})
+
+
+def write_rest(df: DataFrame, url: str, headers: dict[str, str] | None = None, size: int = 1000, clear: bool = True, two_phase: bool = False) -> None:
+    """DELETE once, then POST the rows as JSON lists of ``size`` from the executors.
+
+    Each list carries an ``Idempotency-Key``; a task that runs again sends the same lists
+    under the same keys, because its rows come from a checkpoint, so that a service that
+    minds the keys takes every row once. With ``two_phase`` every request names its load
+    (``X-Load``), and a last one, PUT when all is sent or DELETE when a task failed for
+    good, tells the service to keep or to forget it.
+    """
+    spark, load = df.sparkSession, uuid.uuid4().hex
     sent = {"Content-Type": "application/json"} | (headers or {})
     if clear:
         urllib.request.urlopen(urllib.request.Request(url, headers=sent, method="DELETE")).close()
-
-    def post(rows: Iterator[Row]) -> None:
-        for part in batches(rows, size):
-            body = json.dumps(part, default=str).encode()
-            urllib.request.urlopen(urllib.request.Request(url, data=body, headers=sent, method="POST")).close()
-
-    df.foreachPartition(post)
+    if two_phase:
+        sent["X-Load"] = load
+    spark.dataSource.register(RestSink)
+    options = {"url": url, "load": load, "size": str(size), "headers": json.dumps(sent)}
+    materialize(df).write.format("rest_sink").options(**options).mode("append").save()
