@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesloom.functions.frequency import Frequency, aligned, detect_frequency, frequency_params
-from seriesloom.panel import clip0, double_columns, names, string_columns, trailing, upto
+from seriesloom.panel import clip0, double_columns, names, ordered, string_columns, trailing, upto
 
 
 def complete(df: DataFrame, group_cols: str | Sequence[str], date_col: str, freq: str | Frequency) -> DataFrame:
@@ -98,6 +98,53 @@ def cutoff_statistics(df: DataFrame) -> DataFrame:
     )
 
 
+def late_backtest(
+    df: DataFrame, group_cols: str | Sequence[str], date_col: str, cutoffs: Sequence[date], horizon: int, freq: str | Frequency, windowed: Callable[[DataFrame, list[str]], DataFrame], reach: int
+) -> DataFrame:
+    """What ``windowed(filter_by_horizon(horizon_number(add_horizon(backtest(df)))))`` is, with windows computed once for all cutoffs.
+
+    ``df`` is a completed panel; ``windowed(df, keys)`` adds columns of windows that look
+    back over ``reach`` rows at most, the own one included. Such columns do not depend on
+    the cutoff where a series has rows; so they are computed on the series alone, and
+    cutoffs are attached to the finished rows. Only the horizon rows that a series lacks
+    are computed per cutoff, from the series' last ``reach`` rows. All of it is dealt by
+    the keys once and sorted once, and no row travels per cutoff.
+    """
+    keys, f = names(group_cols), Frequency.parse(freq)
+    whole, cut = W.partitionBy(*keys), [F.lit(c) for c in cutoffs]
+    carried = [c for c in string_columns(df) if c not in keys] + [c for c in df.columns if c.startswith("filled_")]
+    raw = windowed(df, keys)
+    raw = raw.withColumns({"_pos": F.row_number().over(ordered(keys, date_col))} | {f"_carry_{i}": F.last(c, ignorenulls=True).over(upto(keys, date_col)) for i, c in enumerate(carried)})
+    raw = raw.withColumns({"_n": F.count("*").over(whole), "_lo": F.min(date_col).over(whole), "_before": F.array(*[F.count_if(F.col(date_col) < c).over(whole) for c in cut])})
+
+    def attached(rows: DataFrame) -> DataFrame:
+        """Rows per cutoff, with the dates that its horizon has outside the series."""
+        rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(len(cut)))))
+        future = F.element_at(F.array(*[f.future(c, horizon) for c in cut]), F.col("_i"))
+        rows = rows.withColumns({"cutoff": F.element_at(F.array(*cut), F.col("_i")), "_b": F.element_at("_before", F.col("_i")), "_future": future})
+        return rows.withColumn("_pre", F.size(F.filter("_future", lambda d: d < F.col("_lo"))))
+
+    test = F.col(date_col) >= F.col("cutoff")
+    number = F.when(test, F.col("_pos") - F.col("_b") + F.col("_pre")).otherwise(0).cast("int")
+    out = [*raw.columns[: -(4 + len(carried))], "cutoff", "sample", "horizon"]
+    there = attached(raw).withColumns({"sample": F.when(test, "test").otherwise("train"), "horizon": number}).where(~test | (F.col("horizon") <= horizon))
+
+    # the horizon rows that are not there come from the last row, behind the rows that their windows look at
+    tail = attached(raw.withColumn("_hi", F.max(date_col).over(whole)).where(F.col("_pos") > F.col("_n") - reach))
+    tail = tail.withColumn("_new", F.filter("_future", lambda d: (d < F.col("_lo")) | (d > F.col("_hi")))).where(F.size("_new") > 0)
+    at = lambda d, new: F.struct(d.alias("d"), F.lit(new).alias("new"))
+    own, news = F.array(at(F.col(date_col), False)), F.transform("_new", lambda d: at(d, True))
+    tail = tail.withColumn("_x", F.explode(F.when(F.col("_pos") == F.col("_n"), F.concat(own, news)).otherwise(own)))
+    is_new, after = F.col("_x.new"), F.col("_x.new") & (F.col("_x.d") > F.col("_hi"))
+    values = {c: F.when(after, F.col(f"_carry_{carried.index(c)}")).when(~is_new, F.col(c)) if c in carried else F.when(~is_new, F.col(c)) for c in df.columns if c not in (*keys, date_col)}
+    tail = tail.select(*keys, F.col("_x.d").alias(date_col), *[v.alias(c) for c, v in values.items()], "cutoff", is_new.alias("_is_new"), F.lit("test").alias("sample"), "_hi", "_future", "_n", "_b", "_pre")
+    tail = windowed(tail, [*keys, "cutoff"]).where("_is_new")
+    later = F.size(F.filter("_future", lambda d: (d > F.col("_hi")) & (d <= F.col(date_col)))) + F.col("_n") - F.col("_b") + F.col("_pre")
+    earlier = F.size(F.filter("_future", lambda d: d <= F.col(date_col)))
+    tail = tail.withColumn("horizon", F.when(F.col(date_col) > F.col("_hi"), later).otherwise(earlier).cast("int")).where(F.col("horizon") <= horizon)
+    return there.select(*out).unionByName(tail.select(*out))
+
+
 def run_data_preparation(
     df: DataFrame, date_col: str, group_cols: str | Sequence[str], signal_cols: Sequence[str], target: str | None = None, horizon: int | None = None, freq: str | None = None,
     n_cutoffs: int = 1, complete_dataframe: bool = True, smooth: bool = True, dp_window_size: int | None = None, cutoffs: Sequence[date] | None = None,

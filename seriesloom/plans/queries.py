@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -317,6 +318,29 @@ def lags_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lags(spark, sf_dir, "safe", True)
 
 
+@query(
+    f"WITH {PREP} SELECT l_suppkey, cutoff, date, sample, horizon, {rs('filled_qty')} AS filled_qty, "
+    + ", ".join(f"{rs(f'{f}({v}) {_over(w)}')} AS {v}_{n}_{w}" for v in ("filled_qty", "qty") for w in (2, 6) for n, f in (("min", "min"), ("max", "max"), ("mean", "avg")))
+    + ", " + ", ".join(
+        f"CASE WHEN sample = 'test' AND horizon > {n} THEN NULL ELSE lag(qty, {n}) OVER (PARTITION BY l_suppkey, cutoff ORDER BY date) END AS feature_qty_lag_{n}" for n in (1, 3)
+    )
+    + " FROM prep"
+)
+def late_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and lags of all cutoffs' replicas, computed once on the series; lags are masked by the horizon."""
+    raw = P.supp_m(spark, sf_dir)
+    panel = preparation.smoothing(preparation.complete(raw, ["l_suppkey"], "date", "MS"), ["l_suppkey"], "date", ["qty"], P.WINDOW)
+
+    def windowed(df: DataFrame, keys: list[str]) -> DataFrame:
+        made = features.moving_stat_columns(keys, "date", ["filled_qty", "qty"], (2, 6))
+        return df.withColumns(made | features.lag_columns(keys, "date", ["qty"], (1, 3), sampled=False))
+
+    out = preparation.late_backtest(panel, ["l_suppkey"], "date", preparation.cutoff_dates(raw, "date", "qty", P.CUTOFFS), P.HORIZON, "MS", windowed, 6)
+    lags = [F.when((F.col("sample") == "train") | (F.col("horizon") <= n), F.col(f"feature_qty_lag_{n}")).alias(f"feature_qty_lag_{n}") for n in (1, 3)]
+    stats = [c for c in out.columns if re.fullmatch(r"(filled_)?qty_(min|max|mean)_\d", c)]
+    return out.select(*SERIES, "date", "sample", "horizon", rd("filled_qty").alias("filled_qty"), *[rd(c).alias(c) for c in stats], *lags)
+
+
 @query()
 def feature_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.run_feature_engineering(materialize(P.prepared(spark, sf_dir)), SERIES, "date", "qty", "MS", ["filled_qty", "qty"], [], extended_stats=True)
