@@ -15,6 +15,7 @@ from seriesloom.operators import baselines, columns, features, guard, metrics, m
 from seriesloom.plans import panels as P
 from seriesloom.plans.pipeline import Options, forecast, run_pipeline
 from seriesloom.sources import tables
+from seriesloom.streaming.features import stateful_features
 from seriesloom.streaming.panels import event_cells
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -816,6 +817,31 @@ def stream_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_cells(P.table(spark, sf_dir, "events"), "ts", ["event_type"], "value").withColumn("total", F.round("total", 2))
 
 
+_EVENT = "event_type"
+
+
+@query(
+    f"WITH panel AS ({P.SQL['ev_d']}) SELECT event_type, date, n, "
+    + ", ".join(f"lag(n, {k}) OVER (PARTITION BY event_type ORDER BY date) AS feature_n_lag_{k}" for k in (1, 7))
+    + ", " + ", ".join(f"{rs(f'avg(n) {_over(w, _EVENT)}')} AS n_ma_{w}" for w in (3, 7))
+    + " FROM panel"
+)
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily cells as a stream, dealt over several batches in no order, to the features they end in."""
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    cells = P.ev_d(spark, sf_dir)
+    cells.repartition(3, "date").write.parquet(f"{where}/in/0")
+    after = cells.agg(F.max("date").alias("date")).select(F.lit("end").alias("event_type"), "date", F.lit(0.0).alias("n"))
+    for k in (1, 2):  # cells behind all others, so that the watermark passes these
+        after.withColumn("date", F.date_add("date", 10_000 + k)).write.parquet(f"{where}/in/{k}")
+    stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/*")
+    out = stateful_features(stream, "event_type", "date", "n", (1, 7), (3, 7), late="9000 days")
+    run = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = spark.read.schema(out.schema).parquet(f"{where}/out").where("event_type <> 'end'")
+    return found.select("event_type", "date", "n", "feature_n_lag_1", "feature_n_lag_7", rd("n_ma_3").alias("n_ma_3"), rd("n_ma_7").alias("n_ma_7"))
+
+
 @query()
 def generate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.generate_sample(spark, "W", 52)
