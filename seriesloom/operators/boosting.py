@@ -83,6 +83,14 @@ def boosted_series(
         gid, owner, path, above, made = big, big, np.full(len(big), np.inf), np.full(len(big), -1), n
         steps, found = [], [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
         while len(rows):
+            wide = np.bincount(at, minlength=len(gid)) >= 2 * least  # others cannot be split
+            if not wide.all():
+                place = np.cumsum(wide) - 1
+                rows, at = rows[wide[at]], place[at[wide[at]]]
+                asks, ask_at = asks[wide[ask_at]], place[ask_at[wide[ask_at]]]
+                gid, owner, path, above = gid[wide], owner[wide], path[wide], above[wide]
+                if not len(rows):
+                    break
             cell = (at * (kinds * width) + np.arange(kinds)[:, None] * width + codes[:, rows]).ravel()
             shape = (len(gid), kinds, width)
             size = np.prod(shape)

@@ -189,7 +189,7 @@ def grow(ask: Callable[[Tree, list[int]], np.ndarray], growth: Growth, columns:
             feature[node], edge[node], missing[node] = f, int(top[1]), bool(top[2])
             left[node], right[node] = len(feature), len(feature) + 1
             for s in (top[3:6], top[6:9] - top[3:6]):
-                if not growth.depth or depth[node] + 1 < growth.depth:
+                if s[2] >= 2 * max(growth.least, 1) and (not growth.depth or depth[node] + 1 < growth.depth):  # else it cannot be split
                     level.append(len(feature))
                 for table, v in ((feature, -1), (edge, 0), (missing, True), (left, -1), (right, -1), (sums, s), (depth, depth[node] + 1), (path, path[node]), (parent, node)):
                     table.append(v)

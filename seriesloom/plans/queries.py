@@ -793,6 +793,13 @@ def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.metrics.select("model", "metric", F.round("value", 4).alias("value"))
 
 
+@query()
+def pipeline_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline as it is without any option: four baselines, among them 1,000 trees a series, and a boosted model."""
+    out = run_pipeline(P.orders_w(spark, sf_dir), "date", _KEYS, ["n_orders"])
+    return out.metrics.select("model", "metric", F.round("value", 4).alias("value"))
+
+
 def _pipeline_without_model(spark: SparkSession, sf_dir: str):
     options = Options(P.HORIZON, "MS", P.CUTOFFS, dp_window_size=P.WINDOW, fe_window_size=(2, 6), lags=(4, 8), baseline_types=("MA",), bs_window_size=4, model=None)
     return run_pipeline(P.supp_m(spark, sf_dir), "date", ["l_suppkey"], ["qty"], "qty", options)
