@@ -796,7 +796,7 @@ def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pipeline_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline as it is without any option: four baselines, among them 1,000 trees a series, and a boosted model."""
-    out = run_pipeline(P.orders_w(spark, sf_dir), "date", _KEYS, ["n_orders"])
+    out = run_pipeline(P.ev_d(spark, sf_dir), "date", ["event_type"], ["n"])
     return out.metrics.select("model", "metric", F.round("value", 4).alias("value"))
 
 
