@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,18 +73,22 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64), pa.int64())
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = _Words()
-    for batch in slices(batches):
-        ids, texts = rows_of(batch)
-        sets = [shingle_set(x, seen) for x in texts]
-        fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
-        keys = [bands(x) for x in sets]
-        ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [ids, batch.column(2), _signed(fp), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, _signed(np.concatenate(keys)))],
-            ["id", "row", "fp", "n", "bands"],
-        )
+def _signatures(mark: Callable[[bytes], int] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Words()
+        for batch in slices(batches):
+            ids, texts = rows_of(batch)
+            sets = [shingle_set(x, seen) for x in texts]
+            fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+            keys = [bands(x) for x in sets]
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            marks = pa.array([mark(x) if mark else None for x in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [ids, batch.column(2), marks, _signed(fp), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, _signed(np.concatenate(keys)))],
+                ["id", "row", "mark", "fp", "n", "bands"],
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +208,8 @@ def similar_links(nodes: DataFrame, sets_of) -> DataFrame:
     return found if links is None else found.unionByName(links)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, row (``row_key``), fp (of its shingle set) and component.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Callable[[bytes], int] | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, row (``row_key``), mark (of its UTF-8 text, if asked for), fp (of its shingle set) and component.
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8
     or more (A-Z lower-cased, words as in ``op1_simhash``; a shorter text is one shingle).
@@ -213,7 +217,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), row_key(docs).alias("row"))
-    marks = materialize(rows.mapInArrow(_signatures, "id long, row string, fp long, n long, bands array<long>"))
+    marks = materialize(rows.mapInArrow(_signatures(mark), "id long, row string, mark long, fp long, n long, bands array<long>"))
     nodes = materialize(marks.groupBy("fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -223,4 +227,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     roots = components(similar_links(nodes, sets_of), "a", "b").select(F.col("node").alias("fp"), "root")
     named = materialize(nodes.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component")))
-    return marks.select("id", "row", "fp").join(named, "fp").select("id", "row", "fp", "component")
+    return marks.select("id", "row", "mark", "fp").join(named, "fp").select("id", "row", "mark", "fp", "component")

@@ -135,14 +135,32 @@ def op1_simhash(docs: DataFrame) -> DataFrame:
     )
 
 
+def simhash_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """One row per row of ``docs``: id, row (``row_key``) and component, over links of both kinds.
+
+    Rows are linked by fingerprints at most ``radius`` bits apart, through the covering
+    masks of ``op1_simhash``, and by what fingerprints cannot tell: 0.8 of the five-word
+    shingles or more in common (``near_copies``), where texts lie 3 to 11 bits apart.
+    Groups by shingles become one node each before fingerprints link them.
+    """
+    rows = materialize(near_copies(docs, mark=fingerprint))
+    met = rows.select("mark", "component").distinct()
+    prints = materialize(met.groupBy("mark").agg(F.min("component").alias("least")))
+    same = met.join(prints, "mark").where("component <> least").select(F.col("component").alias("a"), F.col("least").alias("b"))
+    near = links(prints.select(F.col("mark").alias("fp")), radius)
+    ends = [prints.select(F.col("mark").alias(x), F.col("least").alias(f"_{x}")) for x in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    roots = components(same.unionByName(near), "a", "b").select(F.col("node").alias("component"), "root")
+    return rows.join(roots, "component", "left").select("id", "row", F.coalesce("root", "component").alias("component"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each group of near copies, one row stays: the smallest doc_id, null last, then the smallest row digest.
 
-    Near copies share 0.8 of their five-word shingles or more (``near_copies``); the
-    three words and two bits of ``op1_simhash`` are for its own query alone. All columns
-    stay as they are. Rows alike in every column are one row here.
+    Near copies are those of ``simhash_groups``. All columns stay as they are. Rows alike
+    in every column are one row here.
     """
-    rows = near_copies(docs).groupBy("component", "id", "row").agg(F.count("*").alias("rows"))
+    rows = simhash_groups(docs).groupBy("component", "id", "row").agg(F.count("*").alias("rows"))
     order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "rows")
     best = rows.groupBy("component").agg(F.min(order).alias("best"))
     row = unused(docs, "_row")

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import brute
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,26 @@ def test_large_buckets_lose_no_link(spark, prose, vocabulary, monkeypatch):
         assert sorted(r.id for r in rows) == sorted(set(want))
 
 
+def test_texts_whose_fingerprints_link_leave_one(spark, prose):
+    """Texts of which under 0.8 of the shingles are shared, but whose fingerprints are at most 2 bits apart, and what else either side links."""
+    phrase = prose(4000, 25)
+    copies = [" ".join([phrase] * 30 + [prose(4001 + k, 45)]) for k in range(3)]  # the repeated phrase has nearly all votes
+    edge = copies[0].rsplit(" ", 4)[0]  # a near copy by shingles
+    texts = [*copies, edge, prose(4100, 60), None, "", "a b", "a c"]
+    prints, sets = [brute.fingerprint(t) for t in texts], [shingles(t) for t in texts]
+    near = [[(prints[i] ^ prints[j]).bit_count() <= 2 for j in range(len(texts))] for i in range(len(texts))]
+    assert near[0][1] and near[0][2] and not similar(sets[0], sets[1]) and not similar(sets[0], sets[2])
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (near[i][j] or similar(sets[i], sets[j])):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(root))
+    assert [name for name, _ in corpus_pipeline.STAGES][1] == "simhash near-dedup"
+
+
 def test_rows_are_kept_by_content_not_by_id(spark, prose):
     a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
     rows = [(1, a), (1, b), (None, a), (None, c), (None, c + " x"), (2, b), (3, c), (3, c), (4, None), (None, "")]
