@@ -14,14 +14,30 @@ from seriesloom.panel import clip0, double_columns, names, ordered, string_colum
 
 
 def complete(df: DataFrame, group_cols: str | Sequence[str], date_col: str, freq: str | Frequency) -> DataFrame:
-    """Every grid date of each series between its first and last date; rows off the grid go, null keys go."""
-    keys = names(group_cols)
-    kept = df.dropna(subset=keys)
-    ends = kept.groupBy(*keys).agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
-    dates = Frequency.parse(freq).grid(F.col("_lo"), F.col("_hi"))
-    grid = ends.select(*keys, F.explode(dates).alias(date_col))
+    """Every grid date of each series between its first and last date; rows off the grid go, null keys go.
+
+    Each row brings the grid dates between it and the next row, so that the observed rows
+    alone travel, once, by their keys; a series without a grid date keeps its first date.
+    """
+    keys, f, day = names(group_cols), Frequency.parse(freq), F.col(date_col)
     rest = [c for c in df.columns if c not in (*keys, date_col)]
-    return grid.join(kept, [*keys, date_col], "left").select(*keys, date_col, *rest)
+    w = ordered(keys, date_col)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = df.dropna(subset=keys).withColumns(
+        {"_lo": F.min(date_col).over(whole), "_hi": F.max(date_col).over(whole), "_next": F.lead(date_col).over(w), "_first": F.row_number().over(w) == 1}
+    )
+    if f.kind == "D":  # counted from the first date
+        steps = F.floor(F.date_diff(day, "_lo") / f.step).cast("int")
+        on, after = F.date_add("_lo", steps * f.step) == day, F.date_add("_lo", (steps + 1) * f.step)
+    else:
+        on, after = f.on_grid(day) == day, f.on_grid(F.date_add(day, 1))
+    none = f.on_grid(F.col("_lo")) > F.col("_hi")
+    own = F.coalesce(on | (none & (day == F.col("_lo"))), F.lit(False)) | (F.col("_lo").isNull() & F.col("_first"))
+    at = lambda d, own: F.struct(d.alias("d"), F.lit(own).alias("own"))
+    gap = F.transform(f.between(after, F.date_sub("_next", 1)), lambda d: at(d, False))
+    rows = rows.withColumn("_x", F.explode(F.when(own, F.concat(F.array(at(day, True)), gap)).otherwise(gap)))
+    there = F.col("_x.own") & F.col("_x.d").isNotNull()
+    return rows.select(*keys, F.col("_x.d").alias(date_col), *[F.when(there, F.col(c)).alias(c) for c in rest])
 
 
 def smoothing(df: DataFrame, group_cols: str | Sequence[str], date_col: str, signal_cols: Sequence[str], window_size: int = 13) -> DataFrame:
@@ -59,10 +75,20 @@ def add_horizon(df: DataFrame, group_cols: str | Sequence[str], date_col: str, h
     cutoff; ``carry_across_cutoffs`` carries them from one cutoff's replica to the next.
     """
     keys = names(group_cols)
-    series = [*keys, "cutoff"]
-    needed = df.select(*series).distinct().withColumn(date_col, F.explode(Frequency.parse(freq).future(F.col("cutoff"), horizon)))
-    missing = needed.join(df.select(*series, date_col), [*series, date_col], "left_anti").withColumn("sample", F.lit("test"))
-    both = df.unionByName(missing, allowMissingColumns=True)
+    series, day = [*keys, "cutoff"], F.col(date_col)
+    w = ordered(series, date_col)
+    future = Frequency.parse(freq).future(F.col("cutoff"), horizon)
+    # a series' last row brings the dates that are missing; at most ``horizon`` are held per series
+    have = F.collect_set(F.when(F.array_contains(future, day), day)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rows = df.withColumns({"_have": have, "_last": F.lead(F.lit(True)).over(w).isNull()})
+    at = lambda d, own: F.struct(d.alias("d"), F.lit(own).alias("own"))
+    own, new = F.array(at(day, True)), F.transform(F.array_except(future, F.col("_have")), lambda d: at(d, False))
+    rows = rows.withColumn("_x", F.explode(F.when(F.col("_last"), F.concat(own, new)).otherwise(own)))
+    there = F.col("_x.own")
+    values = {date_col: F.col("_x.d"), "sample": F.when(there, F.col("sample")).otherwise("test")} if "sample" in df.columns else {date_col: F.col("_x.d")}
+    both = rows.select(*[(values[c] if c in values else F.col(c) if c in series else F.when(there, F.col(c))).alias(c) for c in df.columns])
+    if "sample" not in df.columns:
+        both = both.withColumn("sample", F.lit(None).cast("string"))
     carried = [c for c in string_columns(df) if c not in keys] + [c for c in df.columns if c.startswith("filled_")]
     w = W.partitionBy(*keys).orderBy("cutoff", date_col).rowsBetween(W.unboundedPreceding, 0) if carry_across_cutoffs else upto(series, date_col)
     return both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in carried})

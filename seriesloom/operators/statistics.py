@@ -146,14 +146,23 @@ def intermittence(df: DataFrame, group_cols: str | Sequence[str], value: str) ->
     return attach(df, df.where(_train(df)).groupBy(*keys).agg(F.avg(empty).alias(name)), keys, name, 0.0)
 
 
+def zero_runs(df: DataFrame, group_cols: str | Sequence[str], date_col: str, value: str, sample: str | None = None) -> DataFrame:
+    """(keys, feature_<value>_max_consec_zeros): the longest run of zeros of each series; a missing value ends a run.
+
+    A zero's place behind the last other row is the length of its run so far: one sort
+    and one aggregate in the series' own task.
+    """
+    keys, w = names(group_cols), ordered(names(group_cols), date_col)
+    rows = (df if sample is None else df.where(F.col("sample") == sample)).select(*keys, date_col, F.coalesce(F.col(value) == 0, F.lit(False)).alias("_z"))
+    rows = rows.withColumn("_pos", F.row_number().over(w))
+    run = F.col("_pos") - F.coalesce(F.max(F.when(~F.col("_z"), F.col("_pos"))).over(upto(keys, date_col)), F.lit(0))
+    return rows.withColumn("_run", run).groupBy(*keys).agg(F.max("_run").cast("long").alias(f"feature_{value}_max_consec_zeros"))
+
+
 def max_consecutive_zeros(df: DataFrame, group_cols: str | Sequence[str], date_col: str, value: str, sample: str | None = None) -> DataFrame:
-    """``feature_<value>_max_consec_zeros``: the longest run of zeros; a missing value ends a run. All rows, or one sample's."""
-    keys, name = names(group_cols), f"feature_{value}_max_consec_zeros"
-    rows = df if sample is None else df.where(F.col("sample") == sample)
-    zero = F.coalesce(F.col(value) == 0, F.lit(False))
-    island = F.row_number().over(ordered(keys, date_col)) - F.row_number().over(W.partitionBy(*keys, "_z").orderBy(date_col))
-    runs = rows.withColumn("_z", zero).withColumn("_i", island).where("_z").groupBy(*keys, "_i").agg(F.count("*").alias("_run"))
-    return attach(df, runs.groupBy(*keys).agg(F.max("_run").alias(name)), keys, name, 0)
+    """``feature_<value>_max_consec_zeros`` on every row (``zero_runs``). All rows count, or one sample's."""
+    keys = names(group_cols)
+    return attach(df, zero_runs(df, keys, date_col, value, sample), keys, f"feature_{value}_max_consec_zeros", 0)
 
 
 def autocorrelation(df: DataFrame, group_cols: str | Sequence[str], date_col: str, value: str, lag: int = 1, sample: str | None = None) -> DataFrame:
@@ -184,8 +193,10 @@ def distinct_combinations(df: DataFrame, low: str, group_cols: str | Sequence[st
 def bucket(stats: DataFrame, value: str, q: int, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Quantile bucket 1..q of a statistic; repeated edges count once; 0 for NULL or fewer than two edges.
 
-    ``by`` computes the edges per group (a cutoff, so that replicas do not weigh in).
+    ``by`` computes the edges per group (a cutoff, so that replicas do not weigh in). The
+    statistic is written once, because ranges, edges and buckets all read it.
     """
+    stats = materialize(stats)
     edges = quantile_edges(stats, value, q, by)
     rows = stats.join(F.broadcast(edges), F.lit(True) if not by else reduce(and_, [stats[c].eqNullSafe(edges[f"_by_{c}"]) for c in by]), "left")  # a row per cutoff
     rows = rows.drop(*[f"_by_{c}" for c in by])
@@ -236,14 +247,20 @@ def history_clusters(df: DataFrame, group_cols: str | Sequence[str], value: str,
     return attach(df, bucket(tops, "_stat", n_clusters, name, by), keys, name, 0)
 
 
-def intermittence_clusters(df: DataFrame, group_cols: str | Sequence[str], date_col: str, value: str, n_clusters: int = 10) -> DataFrame:
-    """``feature_<value>_intermittence_cluster`` from the share of zeros after a series' first sale on train rows."""
-    keys, name = names(group_cols), f"feature_{value}_intermittence_cluster"
-    train = df.where(_train(df)).withColumn("_on", F.max(F.when(F.col(value) > 0, 1).otherwise(0)).over(upto(keys, date_col)))
+def intermittence_buckets(df: DataFrame, group_cols: str | Sequence[str], date_col: str, value: str, n_clusters: int = 10) -> DataFrame:
+    """(keys, feature_<value>_intermittence_cluster) from the share of zeros after a series' first sale on train rows; 0 without a sale."""
+    keys = names(group_cols)
+    train = df.where(_train(df)).select(*keys, date_col, value)
+    train = train.withColumn("_on", F.max(F.when(F.col(value) > 0, 1).otherwise(0)).over(upto(keys, date_col)))
     empty = F.when(F.col(value).isNull() | (F.col(value) == 0), 1.0).otherwise(0.0)
-    shares = train.where("_on = 1").groupBy(*keys).agg(F.avg(empty).alias("_stat"))
-    by = ["cutoff"] if "cutoff" in keys else []
-    return attach(df, bucket(shares, "_stat", n_clusters, name, by), keys, name, 0)
+    shares = train.groupBy(*keys).agg(F.avg(F.when(F.col("_on") == 1, empty)).alias("_stat"))
+    return bucket(shares, "_stat", n_clusters, f"feature_{value}_intermittence_cluster", ["cutoff"] if "cutoff" in keys else []).drop("_stat")
+
+
+def intermittence_clusters(df: DataFrame, group_cols: str | Sequence[str], date_col: str, value: str, n_clusters: int = 10) -> DataFrame:
+    """``feature_<value>_intermittence_cluster`` on every row (``intermittence_buckets``)."""
+    keys = names(group_cols)
+    return attach(df, intermittence_buckets(df, keys, date_col, value, n_clusters), keys, f"feature_{value}_intermittence_cluster", 0)
 
 
 def series_statistics(

@@ -389,8 +389,7 @@ _ZEROED = f"{P.prepared_sql('part_m')}, z AS (SELECT l_partkey, date, coalesce(q
 r AS (SELECT l_partkey, g, count(*) AS n FROM i WHERE qty = 0 GROUP BY ALL) SELECT p.l_partkey, coalesce(max(n), 0) AS feature_qty_max_consec_zeros FROM (SELECT DISTINCT l_partkey FROM z) p LEFT JOIN r USING (l_partkey) GROUP BY 1"""
 )
 def max_zero_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = statistics.max_consecutive_zeros(_zeroed(spark, sf_dir), ["l_partkey"], "date", "qty")
-    return out.select("l_partkey", "feature_qty_max_consec_zeros").distinct()
+    return statistics.zero_runs(_zeroed(spark, sf_dir), ["l_partkey"], "date", "qty")
 
 
 def _decompose_sql(rows: str, key: str, value: str, period: str, periods: tuple[int, ...], out: str) -> str:
@@ -510,8 +509,7 @@ def history_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).replace(f"WITH panel AS ({P.SQL['part_m']})", f"WITH {P.prepared_sql('part_m')}")
 )
 def intermittence_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = statistics.intermittence_clusters(calendar_complete_parts(spark, sf_dir), ["l_partkey"], "date", "qty")
-    return out.select("l_partkey", "feature_qty_intermittence_cluster").distinct()
+    return statistics.intermittence_buckets(calendar_complete_parts(spark, sf_dir), ["l_partkey"], "date", "qty")
 
 
 def _weights_sql(weight: str) -> str:
