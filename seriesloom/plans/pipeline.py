@@ -100,16 +100,18 @@ def run_pipeline(df: DataFrame, date_col: str, group_cols: str | Sequence[str],
         else:
             frame = guard.clip_outliers(frame, column, keys, o.lower_quantile, o.upper_quantile)
     frame = materialize(frame)  # features and statistics both read it
+    counts = preparation.cutoff_statistics(frame)  # what follows adds columns, no rows
+    kept = materialize if o.model else (lambda f: f)  # a model reads its frame several times, metrics read it once
     windowed = [c for s in spec.signals for c in (f"filled_{s}", s) if c in frame.columns]
     frame = features.run_feature_engineering(
         frame, series, date_col, spec.target, freq, windowed, keys, o.fe_window_size or known["fe_window_size"], o.lags or known["lags"], o.fill_lags, o.n_clusters, lag_mask=o.lag_mask
     )
-    frame = materialize(frame)
+    frame = kept(frame)
     chosen = feature_columns(frame, o.use_lags)
     before = set(frame.columns)
     window = o.bs_window_size or known["bs_window_size"]
     known_ahead = feature_columns(frame, False)  # without lags, which train rows may lack
-    frame = materialize(baselines.run_baselines(frame, series, date_col, [spec.target], o.baseline_types, window, known_ahead, o.create_features))
+    frame = kept(baselines.run_baselines(frame, series, date_col, [spec.target], o.baseline_types, window, known_ahead, o.create_features))
     made = [c for c in frame.columns if c not in before and c.startswith("baseline_")]
     evaluated, backtest = list(made), None
     if o.model:
@@ -122,7 +124,7 @@ def run_pipeline(df: DataFrame, date_col: str, group_cols: str | Sequence[str],
         frame = backtest.frame
         evaluated.append("prediction")
     grouped = metrics.grouped_metric(frame, spec.target, evaluated, o.eval_group_col, "RMSE", o.eval_group_filter) if o.eval_group_col else None
-    return Result(frame, metrics.evaluate(frame, spec.target, evaluated), preparation.cutoff_statistics(frame), grouped, backtest, made)
+    return Result(frame, metrics.evaluate(frame, spec.target, evaluated), counts, grouped, backtest, made)
 
 
 def forecast(spark: SparkSession, request: dict) -> dict:
