@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesloom.operators import groups
 from seriesloom.operators.boosting import boosted_series
 from seriesloom.operators.groups import appended
 from seriesloom.panel import names, trailing
@@ -82,7 +82,7 @@ def croston(y: np.ndarray, series: np.ndarray, alpha: float) -> tuple[np.ndarray
 def lr_baseline(df: DataFrame, group_cols: str | Sequence[str], date_col: str, signal_cols: Sequence[str], feature_cols: Sequence[str]) -> DataFrame:
     """``baseline_<s>_lr``: per series least squares with intercept on train rows (missing y as 0); train rows keep the actual.
 
-    One feature stays in SQL aggregates; several are solved per series in Arrow batches.
+    One feature stays in SQL aggregates; several are solved for all series of a task together.
     Series with fewer than two train rows get NULL on test rows.
     """
     keys, out = names(group_cols), df
@@ -100,30 +100,41 @@ def lr_baseline(df: DataFrame, group_cols: str | Sequence[str], date_col: str, s
             out = out.join(fits, keys, "left").withColumn(name, F.when(train, F.col(s)).otherwise(predicted)).drop("_a", "_b", "_n")
             continue
         columns = list(feature_cols)
-        fits = (
-            out.where(train)
-            .select(*keys, y.alias("_y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-            .groupBy(*keys)
-            .applyInPandas(_least_squares(keys, columns), out.select(*keys).schema.add("_c", T.ArrayType(T.DoubleType())))
-        )
-        dot = F.element_at("_c", 1)
-        for i, c in enumerate(columns):
-            dot = dot + F.element_at("_c", i + 2) * F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        out = out.join(fits, keys, "left").withColumn(name, F.when(train, F.col(s)).otherwise(dot)).drop("_c")
+        needed = {"train": is_train().cast("int"), "y": y} | {f"x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+        out = appended(out, keys, [], needed, [T.StructField("_lr", T.DoubleType())], _lines(columns))
+        out = out.withColumn(name, F.when(train, F.col(s)).otherwise(F.col("_lr"))).drop("_lr")
     return out
 
 
-def _least_squares(keys: Sequence[str], columns: Sequence[str]):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.loc[pdf.index[:1], list(keys)].copy()
-        if len(pdf) < 2:
-            one["_c"] = None
-            return one
-        x = np.column_stack([np.ones(len(pdf)), pdf[list(columns)].to_numpy(float)])
-        one["_c"] = [np.linalg.lstsq(x, pdf["_y"].to_numpy(float), rcond=None)[0].tolist()]
-        return one
+def _lines(columns: Sequence[str]):
+    def compute(rows: dict[str, np.ndarray], series: np.ndarray) -> dict[str, np.ndarray]:
+        x, own = np.column_stack([np.ones(len(series)), *[rows[f"x_{c}"] for c in columns]]), rows["train"] == 1
+        return {"_lr": (x * least_squares(x[own], rows["y"][own], series[own], series[-1] + 1)[series]).sum(1)}
+
+    return compute
+
 
-    return solve
+def least_squares(x: np.ndarray, y: np.ndarray, series: np.ndarray, n: int) -> np.ndarray:
+    """Coefficients of series 0..n-1 as ``np.linalg.lstsq`` gives them one by one; NaN for fewer than two rows.
+
+    Rows of a series stand together. Series of about the same length are solved at once;
+    rows of zeros, which no fit sees, make them equally long.
+    """
+    out, sizes = np.full((n, x.shape[1]), np.nan), np.bincount(series, minlength=n)
+    place, level = np.arange(len(y)) - (np.cumsum(sizes) - sizes)[series], np.ceil(np.log2(np.maximum(sizes, 1)))
+    for k in np.unique(level[sizes > 1]):
+        own = np.flatnonzero((sizes > 1) & (level == k))
+        at = np.full(n, -1)
+        at[own] = np.arange(len(own))
+        rows = np.flatnonzero(at[series] >= 0)
+        a, b = np.zeros((len(own), max(sizes[own].max(), x.shape[1]), x.shape[1])), np.zeros((len(own), max(sizes[own].max(), x.shape[1]), 1))
+        a[at[series[rows]], place[rows]] = x[rows]
+        b[at[series[rows]], place[rows], 0] = y[rows]
+        u, w, v = np.linalg.svd(a, full_matrices=False)
+        least = np.finfo(float).eps * np.maximum(sizes[own], x.shape[1])[:, None] * w[:, :1]
+        part = (u.transpose(0, 2, 1) @ b)[:, :, 0] * np.where(w > least, 1 / np.where(w > least, w, 1), 0)
+        out[own] = (v.transpose(0, 2, 1) @ part[:, :, None])[:, :, 0]
+    return out
 
 
 def boosted_baseline(
@@ -133,7 +144,7 @@ def boosted_baseline(
 
     Series with fewer than two train rows get NULL on test rows. A missing feature counts
     as the smallest value. Series are dealt to tasks by their keys; a task grows the
-    trees of all its series together, about ``groups.TOGETHER`` rows at a time.
+    trees of all its series together, about four times ``groups.TOGETHER`` rows at a time.
     """
     keys, signals, columns = names(group_cols), names(signal_cols), list(feature_cols)
     keys += ["cutoff"] if "cutoff" in df.columns and "cutoff" not in keys else []
@@ -155,7 +166,9 @@ def boosted_baseline(
             made[f"baseline_{s}_lgbm"] = value
         return made
 
-    return appended(df, keys, [], needed, [T.StructField(f"baseline_{s}_lgbm", T.DoubleType()) for s in signals], compute)
+    spark = df.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return appended(df, keys, [], needed, [T.StructField(f"baseline_{s}_lgbm", T.DoubleType()) for s in signals], compute, groups.TOGETHER * 4, tasks)
 
 
 def run_baselines(

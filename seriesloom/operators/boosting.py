@@ -58,6 +58,106 @@ def best_first(gid: np.ndarray, parent: np.ndarray, series: np.ndarray, gain: np
     return np.concatenate(chosen)
 
 
+def _padded(values: np.ndarray, series: np.ndarray, n: int, fill: float) -> tuple[np.ndarray, np.ndarray]:
+    """A row per series 0..n-1 of the values that are its own, and each value's flat place; shorter rows end in ``fill``."""
+    order = np.argsort(series, kind="stable")
+    sizes = np.bincount(series, minlength=n)
+    place = np.empty(len(series), np.int64)
+    place[order] = np.arange(len(series)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.full((n, int(sizes.max(initial=0))), fill, values.dtype)
+    flat = series * out.shape[1] + place
+    out.ravel()[flat] = values
+    return out, flat
+
+
+def _short_series(codes: np.ndarray, y: np.ndarray, series: np.ndarray, ask_codes: np.ndarray, ask_series: np.ndarray, n: int, trees: int, rate: float, least: int) -> np.ndarray:
+    """``boosted_series`` for series so short that a tree takes every split with a gain, whatever the order.
+
+    Each series is a row of a table, and so is each node, with zeros where rows are not
+    its own. Rows stay in each feature's order, found once, so that a node's sums are
+    running sums; the first node's counts are the same in every tree.
+    """
+    mean = np.bincount(series, y, n) / np.bincount(series, minlength=n)
+    rest, _ = _padded(y - mean[series], series, n, 0.0)
+    width, kinds, far = rest.shape[1], len(codes), int(codes.max(initial=0)) + 1
+    code = np.stack([_padded(c, series, n, far)[0] for c in codes])
+    padded_ask = [_padded(c, ask_series, n, 0) for c in ask_codes]
+    ask_code, ask_flat = np.stack([p[0] for p in padded_ask]), padded_ask[0][1]
+    there = code[0] < far
+    rank = np.argsort(code, axis=2, kind="stable")  # rows in each feature's order, padding last
+    ranked = np.take_along_axis(code, rank, 2)
+    ends = np.ones(ranked.shape, bool)
+    ends[..., :-1] = ranked[..., 1:] != ranked[..., :-1]
+    ends &= ranked < far
+    ends, ranked, rank = (np.ascontiguousarray(v.transpose(1, 0, 2)).reshape(n, kinds * width) for v in (ends, ranked, rank))
+    own_leaf, ask_leaf_0 = (np.repeat(np.arange(n), k).reshape(n, k) for k in (width, ask_code.shape[2]))
+    out, every = np.zeros(ask_code.shape[1:]), there.all()
+    flat_code, flat_ask = code.reshape(kinds, -1), ask_code.reshape(kinds, -1)
+
+    def counted(owner: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where a node's rows lie in each order, how many are left and right of each place, and which places may split it."""
+        pick = rank[owner] + np.arange(0, len(owner) * width, width)[:, None]
+        left = mine.ravel().take(pick).reshape(len(owner), kinds, width).cumsum(2, np.float64).reshape(len(owner), -1)
+        right = left[:, -1:] - left
+        ok = ends[owner] & (left >= least) & (right >= least)
+        return pick, np.where(ok, left, 1.0), np.where(ok, right, 1.0), ok, left[:, -1]
+
+    live, first = np.flatnonzero(there.sum(1) >= 2 * least), None
+    for _ in range(trees):
+        if not len(live):
+            break
+        if first is None:
+            first = counted(live, there[live])
+        leaf, ask_leaf, made, nodes, owner = own_leaf.copy(), ask_leaf_0.copy(), n, live, live
+        pick, left, right, ok, m = first
+        held, split_any = rest if len(live) == n else rest[live], np.zeros(n, bool)
+        while True:
+            part = held.ravel().take(pick).reshape(len(nodes), kinds, width).cumsum(2).reshape(len(nodes), -1)
+            total = part[:, -1].copy()
+            gain = total[:, None] - part
+            gain *= gain
+            gain /= right
+            part *= part
+            part /= left
+            gain += part
+            gain = np.where(ok, gain, -1.0)
+            best = gain.argmax(1)
+            split = np.flatnonzero(gain[np.arange(len(nodes)), best] - total**2 / m > 1e-12)
+            if not len(split):
+                break
+            nodes, owner, best = nodes[split], owner[split], best[split]
+            split_any[owner] = True
+            child, feature, edge = np.full(made, -1), np.zeros(made, np.int64), np.zeros(made, np.int64)
+            child[nodes], feature[nodes], edge[nodes] = made + 2 * np.arange(len(nodes)), best // width, ranked[owner, best]
+            for place, table in ((leaf, flat_code), (ask_leaf, flat_ask)):
+                flat = place.ravel()
+                to = child.take(flat)
+                go = np.flatnonzero(to >= 0)
+                was = flat[go]
+                flat[go] = to[go] + (table[feature[was], go] > edge[was])
+            nodes, owner = made + np.arange(2 * len(nodes)), np.repeat(owner, 2)
+            made += 2 * len(split)
+            mine = leaf[owner] == nodes[:, None]
+            if not every:
+                mine &= there[owner]
+            wide = np.count_nonzero(mine, axis=1) >= 2 * least
+            if not wide.any():
+                break
+            nodes, owner, mine = nodes[wide], owner[wide], mine[wide]
+            pick, left, right, ok, m = counted(owner, mine)
+            held = rest[owner] * mine
+        if not split_any[live].all():  # without a split nothing changes, in this tree or any later one
+            live, first = live[split_any[live]], None
+        inside = leaf.ravel() if every else np.where(there, leaf, made).ravel()
+        sizes = np.bincount(inside, minlength=made + 1)
+        step = rate * np.bincount(inside, rest.ravel(), made + 1) / np.maximum(sizes, 1)
+        step[:n] = np.where(split_any, step[:n], 0.0)
+        step[made] = 0.0
+        rest -= step.take(inside).reshape(rest.shape)
+        out += step.take(ask_leaf)
+    return mean[ask_series] + out.ravel()[ask_flat]
+
+
 def boosted_series(
     x: np.ndarray, y: np.ndarray, series: np.ndarray, ask: np.ndarray, ask_series: np.ndarray, n: int, trees: int, rate: float, leaves: int = 31, least: int = 20
 ) -> np.ndarray:
@@ -66,9 +166,23 @@ def boosted_series(
     Boosting starts from the mean; a tree grows its best leaf first, up to ``leaves``
     leaves of ``least`` rows each at least. All series grow level by level together. A
     split is taken no later than any whose path from the root holds a smaller gain, so
-    that growth below the worst path of the ``leaves - 1`` best can stop.
+    that growth below the worst path of the ``leaves - 1`` best can stop. Series too short
+    for more than ``leaves`` leaves take every split and go through ``_short_series``.
     """
     codes, ask_codes = _binned(x, series, ask, ask_series, n)
+    sizes = np.bincount(series, minlength=n)
+    short = sizes < (leaves + 1) * least  # leaves of ``least`` rows can't be more than ``leaves``
+    if leaves > 1 and short.any() and len(codes) and len(ask):
+        done = np.zeros(len(ask))
+        for rows in np.unique(np.ceil(np.log2(sizes[short]))):  # of about the same length
+            own = short & (np.ceil(np.log2(sizes)) == rows)
+            place, a, b = np.cumsum(own) - 1, own[series], own[ask_series]
+            if b.any():
+                done[b] = _short_series(codes[:, a], y[a], place[series[a]], ask_codes[:, b], place[ask_series[b]], int(own.sum()), trees, rate, least)
+        if not short.all():
+            place, a, b = np.cumsum(~short) - 1, ~short[series], ~short[ask_series]
+            done[b] = boosted_series(x[a], y[a], place[series[a]], ask[b], place[ask_series[b]], int((~short).sum()), trees, rate, leaves, least)
+        return done
     width, kinds = int(codes.max(initial=0)) + 1, len(codes)
     mean = np.bincount(series, y, n) / np.bincount(series, minlength=n)
     rest, out = y - mean[series], mean[ask_series].copy()

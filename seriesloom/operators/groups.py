@@ -58,17 +58,18 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[int], togethe
         yield held, np.cumsum(np.concatenate(marks)) - 1
 
 
-def appended(df: DataFrame, keys: Sequence[str], order: Sequence[str], needed: dict[str, Column], fields: Sequence[T.StructField], compute: Compute, together: int | None = None) -> DataFrame:
+def appended(df: DataFrame, keys: Sequence[str], order: Sequence[str], needed: dict[str, Column], fields: Sequence[T.StructField], compute: Compute, together: int | None = None, tasks: int | None = None) -> DataFrame:
     """``df`` with new ``fields`` that ``compute`` makes of the ``needed`` columns of whole groups of equal ``keys``.
 
     Groups are dealt to tasks by their keys and come in ``order``. Only the needed columns
     become arrays (a null number is NaN); the columns of ``df`` are handed on in the
-    buffers they came in, whatever their type.
+    buffers they came in, whatever their type. ``tasks`` is for work that costs far more
+    than its bytes tell, by which small partitions would be joined.
     """
     width = len(df.columns)
     # one column: as columns of their own, aliases of many features make the optimizer derive constraints without end
     rows = df.select("*", F.struct(*[c.alias(n) for n, c in needed.items()]).alias("_needed"))
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = (rows.repartition(tasks, *keys) if tasks else rows.repartition(*keys)).sortWithinPartitions(*keys, *order)
     at, called, lot_rows = [df.columns.index(k) for k in keys], list(needed), together or TOGETHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -586,14 +586,16 @@ SELECT o.l_suppkey, o.cutoff, o.date, {rs("CASE WHEN sample = 'train' THEN qty E
 )
 def lr_baseline_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.date_features(features.periods(P.prepared(spark, sf_dir), SERIES, "date", "qty"), "date")
-    out = baselines.lr_baseline(rows, SERIES, "date", ["qty"], ["feature_periods", "feature_sin_yearly_1", "feature_cos_yearly_1"])
+    known = ["feature_periods", "feature_sin_yearly_1", "feature_cos_yearly_1"]
+    out = baselines.lr_baseline(rows.select(*SERIES, "date", "sample", "qty", *known), SERIES, "date", ["qty"], known)
     return out.select(*SERIES, "date", rd("baseline_qty_lr", 4).alias("baseline_qty_lr"))
 
 
 @query()
 def boosted_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.date_features(features.periods(P.prepared(spark, sf_dir), SERIES, "date", "qty"), "date")
-    out = baselines.boosted_baseline(rows, ["l_suppkey"], "date", ["qty"], ["feature_periods", "feature_month"])
+    known = ["feature_periods", "feature_month"]
+    out = baselines.boosted_baseline(rows.select(*SERIES, "date", "sample", "qty", *known), ["l_suppkey"], "date", ["qty"], known)
     return out.select(*SERIES, "date", "baseline_qty_lgbm")
 
 
