@@ -139,8 +139,9 @@ def late_backtest(
     keys, f = names(group_cols), Frequency.parse(freq)
     whole, cut = W.partitionBy(*keys), [F.lit(c) for c in cutoffs]
     carried = [c for c in string_columns(df) if c not in keys] + [c for c in df.columns if c.startswith("filled_")]
-    raw = windowed(df, keys)
-    raw = raw.withColumns({"_pos": F.row_number().over(ordered(keys, date_col))} | {f"_carry_{i}": F.last(c, ignorenulls=True).over(upto(keys, date_col)) for i, c in enumerate(carried)})
+    # a cutoff's replica holds all rows, so that what is carried is the same for every cutoff; windows see it carried
+    df = df.withColumns({c: F.last(c, ignorenulls=True).over(upto(keys, date_col)) for c in carried})
+    raw = windowed(df, keys).withColumn("_pos", F.row_number().over(ordered(keys, date_col)))
     raw = raw.withColumns({"_n": F.count("*").over(whole), "_lo": F.min(date_col).over(whole), "_before": F.array(*[F.count_if(F.col(date_col) < c).over(whole) for c in cut])})
 
     def attached(rows: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def late_backtest(
 
     test = F.col(date_col) >= F.col("cutoff")
     number = F.when(test, F.col("_pos") - F.col("_b") + F.col("_pre")).otherwise(0).cast("int")
-    out = [*raw.columns[: -(4 + len(carried))], "cutoff", "sample", "horizon"]
+    out = [*raw.columns[:-4], "cutoff", "sample", "horizon"]
     there = attached(raw).withColumns({"sample": F.when(test, "test").otherwise("train"), "horizon": number}).where(~test | (F.col("horizon") <= horizon))
 
     # the horizon rows that are not there come from the last row, behind the rows that their windows look at
@@ -162,7 +163,7 @@ def late_backtest(
     own, news = F.array(at(F.col(date_col), False)), F.transform("_new", lambda d: at(d, True))
     tail = tail.withColumn("_x", F.explode(F.when(F.col("_pos") == F.col("_n"), F.concat(own, news)).otherwise(own)))
     is_new, after = F.col("_x.new"), F.col("_x.new") & (F.col("_x.d") > F.col("_hi"))
-    values = {c: F.when(after, F.col(f"_carry_{carried.index(c)}")).when(~is_new, F.col(c)) if c in carried else F.when(~is_new, F.col(c)) for c in df.columns if c not in (*keys, date_col)}
+    values = {c: F.when(after | ~is_new if c in carried else ~is_new, F.col(c)) for c in df.columns if c not in (*keys, date_col)}
     tail = tail.select(*keys, F.col("_x.d").alias(date_col), *[v.alias(c) for c, v in values.items()], "cutoff", is_new.alias("_is_new"), F.lit("test").alias("sample"), "_hi", "_future", "_n", "_b", "_pre")
     tail = windowed(tail, [*keys, "cutoff"]).where("_is_new")
     later = F.size(F.filter("_future", lambda d: (d > F.col("_hi")) & (d <= F.col(date_col)))) + F.col("_n") - F.col("_b") + F.col("_pre")

@@ -51,6 +51,17 @@ def test_monthly_panel_of_the_tables(spark):
     assert a == b and Frequency.parse("MS").family
 
 
+def test_rows_that_are_there_are_carried_too(spark):
+    """Text and ``filled_*`` of observed rows come from the row before where they are NULL, ahead of the windows."""
+    rows = [("k", date(2024, 1, 1), 1.0, 1.0, "a"), ("k", date(2024, 1, 2), None, None, None), ("k", date(2024, 1, 3), 5.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "k string, date date, x double, filled_x double, tag string")
+    early, late = both_ways(df, [date(2024, 1, 3)], 2, "D")
+    got = {r.date.day: (r.tag, r.filled_x, round(r.filled_x_mean_3, 3)) for r in late.collect()}
+    assert got == {1: ("a", 1.0, 1.0), 2: ("a", 1.0, 1.0), 3: ("a", 5.0, 2.333), 4: ("a", 5.0, 3.667)}
+    a, b = (sorted((tuple(r) for r in d.select(*sorted(early.columns)).collect()), key=repr) for d in (early, late))
+    assert a == b
+
+
 def test_windows_are_sorted_once_and_travel_once(spark):
     df = spark.range(200).selectExpr("CAST(id % 4 AS STRING) AS k", "date_add(DATE'2024-01-01', CAST(id / 4 AS INT)) AS date", "CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS filled_x")
     counts = []
