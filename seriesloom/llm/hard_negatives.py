@@ -15,6 +15,8 @@ from seriesloom.llm.common import materialize, slices
 
 #: Rows of one tree and of one leaf; anchors that a task holds; anchors compared with a node at once.
 TREE, LEAF, HELD, STEP = 1 << 14, 64, 1 << 16, 1 << 12
+#: Steps in which a ball's center moves to make it smaller.
+MOVES = 8
 #: Rows a task's share has at least.
 SHARE = 1024
 NONE, LAST = -np.inf, np.iinfo(np.int64).max
@@ -36,6 +38,22 @@ class Node:
     right: Node | None = None
 
 
+def ball(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A center of a small ball around all rows, and their distances from it.
+
+    From the mean, steps of falling size lead to the row that is farthest off; the
+    smallest ball on the way is taken, so that it is never wider than the one around the mean.
+    """
+    best = center = x.mean(0)
+    far = distances = np.sqrt(((x - center) ** 2).sum(1))
+    for i in range(MOVES):
+        center = center + (x[distances.argmax()] - center) / (i + 2)
+        distances = np.sqrt(((x - center) ** 2).sum(1))
+        if distances.max() < far.max():
+            best, far = center, distances
+    return best, far
+
+
 def ball_tree(vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> tuple[Node, np.ndarray]:
     """The root over all rows, and the order in which the tree holds them; ids rise inside a leaf.
 
@@ -47,8 +65,7 @@ def ball_tree(vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> tuple[N
     def node(low: int, high: int) -> Node:
         own = order[low:high]
         x = vectors[own]
-        center = x.mean(0)
-        far = np.sqrt(((x - center) ** 2).sum(1))
+        center, far = ball(x)
         here = Node(low, high, center, float(far.max()), int(ids[own].min()))
         if high - low > leaf:
             one = x[far.argmax()]

@@ -95,6 +95,21 @@ def test_trees_leave_nodes_out(clustered):
     assert narrow.compared < 0.75 * (len(own) * len(ids) - same), narrow.compared
 
 
+def test_balls_are_smaller_than_around_the_mean():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 4)), rng.normal(size=(4, 4)) + 40])  # the mean lies with the many
+    (root, order), wide = hard_negatives.ball_tree(x, np.arange(64)), np.linalg.norm(x - x.mean(0), axis=1).max()
+    assert np.linalg.norm(x - root.center, axis=1).max() <= root.radius < 0.7 * wide
+    for rows in (x, np.repeat(x[:1], 200, 0)):  # no row is lost, none lies outside, equal rows included
+        (root, order), stack = hard_negatives.ball_tree(rows, np.arange(len(rows)), 8), []
+        stack.append(root)
+        while stack:
+            node = stack.pop()
+            assert np.linalg.norm(rows[order[node.low : node.high]] - node.center, axis=1).max() <= node.radius + 1e-9
+            stack += [node.left, node.right] if node.left else []
+        assert sorted(order) == list(range(len(rows)))
+
+
 # 12
 
 
