@@ -29,7 +29,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     The whole size is shared out by weight; a source that would get more than ``most``
     times its size stops there and the rest is shared again. Sorted by the ratio of
     limit to weight, the sources that stop are a prefix, so that running sums replace
-    the rounds. The sums run over ranges of the sources, however many there are.
+    the rounds. The sums run over ranges of the sources, however many there are. Products
+    of sizes and weights are exact: decimals where two long sums meet, long where a weight
+    meets one, for Spark takes a literal under 2^31 as an int.
     """
     listed = F.array([F.lit(w) for w in weights])
     shares = running_before(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
@@ -38,12 +40,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     whole = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
     rest = running_before(shares, [F.col("ratio").asc(), F.col("place").asc()], {"stopped": F.col("limit"), "stopped_w": F.col("w")})
     rest = rest.withColumn("left", F.lit(whole.size) - F.col("stopped")).withColumn("left_w", F.lit(whole.w) - F.col("stopped_w"))
-    stops = F.col("limit") * F.col("left_w") <= F.col("left") * F.col("w")
+    exact = {c: F.col(c).cast("decimal(19,0)") for c in ("limit", "left_w", "left", "w")}
+    stops = exact["limit"] * exact["left_w"] <= exact["left"] * exact["w"]
     at = rest.where(~stops).agg(F.min(F.struct("ratio", "place", "left", "left_w")).alias("at")).first().at  # the first that does not stop
     target = F.col("limit").cast("double")
     if at is not None:
         before = (F.col("ratio") < at.ratio) | ((F.col("ratio") == at.ratio) & (F.col("place") < at.place))
-        target = F.when(before, target).otherwise(F.lit(at.left) * F.col("w") / F.lit(at.left_w))
+        target = F.when(before, target).otherwise(F.lit(at.left).cast("long") * F.col("w") / F.lit(at.left_w))
     return rest.select("source", "source_size", target.alias("target"))
 
 

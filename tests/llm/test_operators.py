@@ -514,6 +514,15 @@ def test_whole_epochs_come_first(spark):
     assert all(r.taken <= 10 for r in got if r.doc_id >= 100)
 
 
+@pytest.mark.parametrize("unit", [5 * 10**7, 10**8, 10**9, 10**17])
+def test_targets_of_large_sizes(spark, unit):
+    """Sizes whose products with weights and with each other need more than 32 bits, and more than 64."""
+    for parts in ((6, 6, 5), (1, 5, 5, 5), (2, 3, 4, None, 8)):
+        sizes = {None if n is None else f"s{i}": unit * (n or 1) for i, n in enumerate(parts)}
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        assert {r.source: r.target for r in got} == pytest.approx(brute.targets(sizes)) and {r.source: r.source_size for r in got} == sizes
+
+
 def test_mixed_documents_repeat_rows(documents):
     took = {r.doc_id: r.taken / r.size for r in mixing.op9_mixing(documents).collect() if r.size}
     out = mixing.mixed_documents(documents)
