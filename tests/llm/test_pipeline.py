@@ -135,6 +135,19 @@ def test_rows_that_differ_anywhere_are_told_apart(spark):
         assert took.count() == mixing.mix(docs).selectExpr("CAST(sum(floor(taken / size + 0.5)) AS INT)").first()[0] >= len(values), name
 
 
+def test_mixing_takes_sizes_beyond_32_bits(spark, tables, monkeypatch):
+    """The stage gives the same rows when its sources' sizes, as the targets see them, are 100,000 times as large."""
+    docs, targets = spark.read.parquet(f"{tables}/documents.parquet"), mixing.source_targets
+    want = Counter(corpus_pipeline.mix_sources(spark, docs, tables).collect())
+
+    def enlarged(sizes):
+        out = targets(sizes.withColumn("source_size", sizes.source_size * 100_000))
+        return out.selectExpr("source", "source_size div 100000 AS source_size", "target / 100000 AS target")
+
+    monkeypatch.setattr(mixing, "source_targets", enlarged)
+    assert want and Counter(corpus_pipeline.mix_sources(spark, docs, tables).collect()) == want
+
+
 def test_results_between_stages_are_deleted(spark, tables, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: str(tmp_path))
     out = corpus_pipeline.run(spark, tables)
